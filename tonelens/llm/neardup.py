@@ -33,7 +33,7 @@ from .shared import table, written
 from .textkit import U64, Codes, Words, first_of, mix, slices
 
 NEED = 3
-HOT = 4096
+HOT = 1024
 SMALL_BAND = 5
 FLUSH = 1 << 21
 LEVELS = 8

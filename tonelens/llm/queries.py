@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import leaks, neardup, repetition
+from . import boilerplate, leaks, neardup, repetition
 
 QUERIES = {
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
+    "p7_found": boilerplate.p7_found,
+    "p7_blocks": boilerplate.p7_blocks,
+    "p7_clean": boilerplate.p7_clean,
     "p9_found": leaks.p9_found,
     "p9_similar": leaks.p9_similar,
     "p10_found": repetition.p10_found,
