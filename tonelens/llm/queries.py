@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import boilerplate, leaks, neardup, repetition
+from . import boilerplate, garbled, language, leaks, lookalike, neardup, repetition
 
 QUERIES = {
+    "p1_found": lookalike.p1_found,
+    "p1_unified": lookalike.p1_unified,
+    "p2_found": language.p2_found,
+    "p2_languages": language.p2_languages,
+    "p2_passages": language.p2_passages,
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
+    "p6_found": garbled.p6_found,
+    "p6_restored": garbled.p6_restored,
     "p7_found": boilerplate.p7_found,
     "p7_blocks": boilerplate.p7_blocks,
     "p7_clean": boilerplate.p7_clean,
