@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boilerplate, garbled, language, leaks, lookalike, neardup, repetition
+from . import boilerplate, garbled, language, leaks, lookalike, neardup, packing, repetition, scanned, tokens
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
@@ -10,6 +10,10 @@ QUERIES = {
     "p2_found": language.p2_found,
     "p2_languages": language.p2_languages,
     "p2_passages": language.p2_passages,
+    "p3_totals": tokens.p3_totals,
+    "p3_tokens": tokens.p3_tokens,
+    "p4_found": scanned.p4_found,
+    "p4_repaired": scanned.p4_repaired,
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
     "p6_found": garbled.p6_found,
@@ -17,6 +21,8 @@ QUERIES = {
     "p7_found": boilerplate.p7_found,
     "p7_blocks": boilerplate.p7_blocks,
     "p7_clean": boilerplate.p7_clean,
+    "p8_containers": packing.p8_containers,
+    "p8_usage": packing.p8_usage,
     "p9_found": leaks.p9_found,
     "p9_similar": leaks.p9_similar,
     "p10_found": repetition.p10_found,
