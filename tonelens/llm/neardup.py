@@ -33,11 +33,11 @@ from .shared import table, written
 from .textkit import U64, Codes, Words, first_of, mix, slices
 
 NEED = 3
-HOT = 1024
+HOT = 2048
 SMALL_BAND = 5
 FLUSH = 1 << 21
 LEVELS = 8
-ROWS_A_RANGE = 3000
+ROWS_A_RANGE = 10_000
 
 SIGNED = "range int, sig binary, doc binary, classes binary"
 MERGED = "kind int, a long, b long, n long"
@@ -158,12 +158,22 @@ class _Out:
             yield _row(int(part[a]), sig[a:b], cls[a:b])
 
 
+def pack(x: np.ndarray) -> bytes:
+    """The low 40 bits of each number, in 5 bytes."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
 def _row(part: int, sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    """Signatures as 6 bytes, classes by their place in a list of the block's classes."""
+    """Signatures as 5 bytes (the range has the bits above), classes by their place in a list of the block's classes."""
     known, place = np.unique(cls, return_inverse=True)
-    six = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
     place = place.astype(np.uint16 if len(known) < 65536 else np.uint32)
-    return pa.record_batch({"range": pa.array([part], pa.int32()), "sig": pa.array([six], pa.binary()), "doc": pa.array([place.tobytes()], pa.binary()), "classes": pa.array([known.tobytes()], pa.binary())})
+    return pa.record_batch({"range": pa.array([part], pa.int32()), "sig": pa.array([pack(sig)], pa.binary()), "doc": pa.array([place.tobytes()], pa.binary()), "classes": pa.array([known.tobytes()], pa.binary())})
 
 
 def _signer(id_column: str, k: int, threshold: float, miss: float, ranges: int, level: int):
@@ -246,15 +256,13 @@ def _merger(level: int):
         else:
             sigs, classes = [], []
             for _, s, d, c in zip(*cols):
-                count = len(s) // 6
-                wide = np.zeros((count, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(s, np.uint8).reshape(-1, 6)
-                sigs.append(wide.view("<u8").ravel())
+                count = len(s) // 5
+                sigs.append(unpack(s))
                 classes.append(np.frombuffer(c, U64)[np.frombuffer(d, np.uint16 if len(d) == 2 * count else np.uint32)])
             a, b, n, hots = pairs_within(np.concatenate(sigs), np.concatenate(classes), HOT, level < LEVELS)
             parts.append(_rows(1, a, b, n))
             for s, c in hots:
-                parts.append(_rows(2, s | U64((cols[0][0] & 0x7FFF) << 48), c, np.zeros(len(c), np.int64)))
+                parts.append(_rows(2, s | U64((cols[0][0] & 0x7FFFFF) << 40), c, np.zeros(len(c), np.int64)))
         return pa.table({x: np.concatenate([p[x] for p in parts]) for x in ("kind", "a", "b", "n")})
 
     return merge
@@ -267,7 +275,7 @@ def _verifier(k: int, threshold: float):
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             both, size = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             for i, (x, y) in enumerate(zip(left, right)):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                x, y = unpack(x), unpack(y)
                 at = np.searchsorted(y, x)
                 both[i] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
                 size[i] = len(x) + len(y) - both[i]
@@ -283,8 +291,8 @@ def _setter(k: int):
             texts, cls = batch.column("text").to_pylist(), batch.column("cls").to_numpy()
             for s, e in slices(texts):
                 d, h, n = shingle_sets(texts[s:e], k)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                yield pa.record_batch({"cls": pa.array(cls[s:e]), "shingles": pa.array([h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())})
+                ends, h = np.concatenate([[0], np.cumsum(n)]), h >> U64(24)  # the high 40 bits keep the order
+                yield pa.record_batch({"cls": pa.array(cls[s:e]), "shingles": pa.array([pack(h[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.binary())})
 
     return sets
 
@@ -298,7 +306,7 @@ def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold:
     kept as often as they come. The work is in proportion to the texts and the candidates found.
     """
     base = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    ranges = int(max(64, base.count() // ROWS_A_RANGE))
+    ranges = int(max(16, base.count() // ROWS_A_RANGE))
     rows, found, level = base, None, 0
     while True:
         signed = rows.mapInArrow(_signer(id_column, k, threshold, miss, ranges, level), SIGNED)
