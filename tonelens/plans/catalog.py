@@ -27,6 +27,8 @@ from . import banks
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: Tables with long texts, whose rows are worth spreading over the cores.
+TEXTS = ("speeches", "documents")
 HEADERS = ("Check against delivery", "Introduction")
 FOOTERS = ("Back to all speeches", "Share this page")
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
@@ -34,7 +36,7 @@ TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None):

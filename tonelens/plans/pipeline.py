@@ -36,6 +36,7 @@ class TonePipeline:
         self.lexicon = load_lexicon(spark, lexicon) if isinstance(lexicon, str) else lexicon
         self.raw: DataFrame | None = None
         self.cleaned: DataFrame | None = None
+        self.full: DataFrame | None = None
 
     def load(self) -> DataFrame:
         try:
@@ -61,7 +62,7 @@ class TonePipeline:
         if not tokens and not stems:
             log.warning("no dictionaries given: nothing is scored")
             return None
-        out = with_text(self.cleaned)
+        out = self.cleaned
         for group, column, suffix in ((tokens, "text_tokens_str", ""), (stems, "text_stems", "_stem")):
             if group and column not in out.columns:
                 raise ScoreError(f"scoring {', '.join(group)} needs {column}: set {'stem' if suffix else 'tokenize'} in the cleaning options")
@@ -69,7 +70,9 @@ class TonePipeline:
                 out = score(out, self.lexicon, group, methods, column, "text", suffix) if group else out
             except (KeyError, ValueError) as e:
                 raise ScoreError(f"can't score: {e}") from e
-        return out
+        # rows without text have null scores, and stand in the combined export only
+        self.full = out
+        return with_text(out)
 
     def run(self, options: dict | CleanConfig | None, dictionaries: dict | list | None, methods: list | tuple = METHODS, export_results: bool = False) -> tuple:
         """(raw, cleaned, scored); a stage left out gives None."""
@@ -82,5 +85,5 @@ class TonePipeline:
         if dictionaries is None:
             log.warning("no dictionaries given: nothing is scored")
         if self.export_path:
-            export_all(cleaned, scored, self.export_path, export_results)
+            export_all(cleaned, scored, self.export_path, export_results, self.full)
         return raw, cleaned, scored

@@ -34,6 +34,13 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise ValueError(f"Unsupported file format: {path}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer tasks than there are cores, as one small file does; a scan
+    that fills the cluster by itself stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def standardized(df: DataFrame, text_column: str = "text", date_column: str = "date", check_dates: bool = True) -> DataFrame:
     """The same rows with the text as ``text`` and the date, parsed, as ``date``; other columns are kept.
 

@@ -29,21 +29,25 @@ def write_csv(df: DataFrame | None, path: str) -> None:
     df.withColumns({c: F.to_json(c) for c in maps}).write.mode("overwrite").option("header", True).csv(path)
 
 
-def combined(cleaned: DataFrame, scored: DataFrame | None, key: str = "id_text") -> DataFrame:
-    """Cleaned columns (without the raw text) and the sentiment scores; rows that weren't scored have null scores."""
+def combined(cleaned: DataFrame, scored: DataFrame | None, key: str = "id_text", complete: bool = False) -> DataFrame:
+    """Cleaned columns (without the raw text) and the sentiment scores; rows that weren't scored have null scores.
+
+    complete: scored has every cleaned row with its columns, as ``score`` itself gives, so no join is needed.
+    """
     left = cleaned.drop(*NOT_EXPORTED)
     if scored is None:
         return left
     names = [c for c in score_columns(scored.columns) if c not in left.columns]
-    if all(c in scored.columns for c in cleaned.columns):  # the scores stand beside the cleaned columns: no join
+    if complete:
         return scored.select(*left.columns, *names)
     return left.join(scored.select(key, *names), key, "left")
 
 
-def export_all(cleaned: DataFrame, scored: DataFrame | None, folder: str, results: bool = True) -> None:
-    """``cleaned``, and with results ``sentiment_lexical`` and ``sentiment_all_results``, in a folder."""
+def export_all(cleaned: DataFrame, scored: DataFrame | None, folder: str, results: bool = True, full: DataFrame | None = None) -> None:
+    """``cleaned``, and with results ``sentiment_lexical`` and ``sentiment_all_results``, in a folder. full: the scores of
+    all cleaned rows, beside their columns."""
     folder = folder.rstrip("/")
     write_parquet(cleaned, f"{folder}/cleaned.parquet")
     if results and scored is not None:
         write_parquet(scored.drop(*[c for c in cleaned.columns if c != "id_text"]), f"{folder}/sentiment_lexical.parquet")
-        write_parquet(combined(cleaned, scored), f"{folder}/sentiment_all_results.parquet")
+        write_parquet(combined(cleaned, scored if full is None else full, complete=full is not None), f"{folder}/sentiment_all_results.parquet")
