@@ -15,8 +15,11 @@ indexed by each of their shingles, which is exact. Every candidate is verified e
 shingle sets.
 
 Texts with the same set are one class; a class is indexed once, so copies make no pairs among
-themselves. A signature shared by more than ``HOT`` classes is split by compound signatures of a
-further partition, again and again, so no task holds the pairs of an unbounded group.
+themselves. Allocation by cost: a signature that more than ``HOT`` classes share, as one of common lines
+does, is dropped by the texts that have few such ones (at most ``HEAVY`` of theirs), since what else they
+must share with a similar text gives them enough others; pairs get the benefit of the dropped ones when
+signatures are counted. Only texts made of such lines for a larger part keep them, and meet in blocks of
+at most ``HOT``, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -34,9 +37,9 @@ from .textkit import U64, Codes, Words, first_of, mix, slices
 
 NEED = 3
 HOT = 2048
+HEAVY = 0.15
 SMALL_BAND = 5
 FLUSH = 1 << 21
-LEVELS = 8
 ROWS_A_RANGE = 10_000
 
 SIGNED = "range int, sig binary, doc binary, classes binary"
@@ -96,7 +99,7 @@ def set_classes(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out >> U64(1)
 
 
-def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, miss: float, seed: int, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) for the texts' own bands and the bands below them."""
     per, look = plan(threshold, miss)
     band = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
@@ -108,11 +111,11 @@ def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, mi
         own, hashes = d[use], h[use]
         if b < SMALL_BAND:
             docs.append(own)
-            sigs.append(mix(hashes ^ U64(seed * 977 + b + 1)) << U64(2) | U64(min(b, 2)))
+            sigs.append(mix(hashes ^ U64(b + 1)) << U64(2) | U64(min(b, 2)))
             continue
         m = max(8, round(per * 2**b))
         for rep in range(-(-look // m)):
-            x = mix(hashes ^ U64((seed * 977 + b * 64 + rep + 1) * 0x9E3779B1))
+            x = mix(hashes ^ U64((b * 64 + rep + 1) * 0x9E3779B1))
             segment = ((x >> U64(32)) * U64(m)) >> U64(32)
             in_look = segment < U64(min(m, look))
             key = own[in_look] * (1 << 20) + segment[in_look].astype(np.int64)
@@ -127,11 +130,7 @@ def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, mi
             sigs.append(mix(total[held] + U64((b * 64 + rep) * 0xD1B54A32D192ED03 % 2**64) + (key[at[held]] & 0xFFFFF).astype(U64)) << U64(2) | U64(2))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    doc, sig = np.concatenate(docs), np.concatenate(sigs)
-    if salt is not None:
-        low = sig & U64(3)
-        sig = mix(sig + salt[doc]) << U64(2) | low
-    return doc, sig
+    return np.concatenate(docs), np.concatenate(sigs)
 
 
 class _Out:
@@ -176,25 +175,20 @@ def _row(part: int, sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"range": pa.array([part], pa.int32()), "sig": pa.array([pack(sig)], pa.binary()), "doc": pa.array([place.tobytes()], pa.binary()), "classes": pa.array([known.tobytes()], pa.binary())})
 
 
-def _signer(id_column: str, k: int, threshold: float, miss: float, ranges: int, level: int):
+def _signer(k: int, threshold: float, miss: float, ranges: int):
     def sign(batches):
         out, members = _Out(ranges), []
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            salt = batch.column("salt").to_numpy(zero_copy_only=False).astype(np.int64).view(U64) if level else None
-            texts = batch.column("text").to_pylist()
+            ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
             for a, b in slices(texts):
                 d, h, n = shingle_sets(texts[a:b], k)
                 cls = set_classes(d, h, b - a)
                 has = np.flatnonzero(n > 0)
-                if not level:
-                    members.append((ids[a:b][has], cls[has], n[has]))
-                    # copies within the slice are indexed once
-                    lead = np.zeros(b - a, bool)
-                    lead[has[np.unique(cls[has], return_index=True)[1]]] = True
-                    keep = lead[d]
-                    d, h = d[keep], h[keep]
-                doc, sig = signatures(d, h, n, threshold, miss, level, None if salt is None else salt[a:b])
+                # copies within the slice are indexed once
+                lead = np.zeros(b - a, bool)
+                lead[has[np.unique(cls[has], return_index=True)[1]]] = True
+                doc, sig = signatures(d[lead[d]], h[lead[d]], n, threshold, miss)
+                members.append((ids[a:b][has], cls[has], np.bincount(doc, minlength=b - a)[has]))
                 out.add(sig, cls[doc])
                 if out.rows >= FLUSH:
                     yield from out.batches()
@@ -213,9 +207,9 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> dict:
     return {"kind": np.full(len(a), kind, np.int32), "a": a.astype(np.int64), "b": b.astype(np.int64), "n": n.astype(np.int64)}
 
 
-def pairs_within(sig: np.ndarray, cls: np.ndarray, hot: int, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def pairs_within(sig: np.ndarray, cls: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(a < b, signatures shared) of classes with a signature in common, and (signature, class) of
-    signatures that more than ``hot`` classes share. Without ``split`` those give pairs too."""
+    signatures that more than ``hot`` classes share; those give no pairs."""
     order = np.lexsort((cls, sig))
     sig, cls = sig[order], cls[order]
     keep = np.ones(len(sig), bool)
@@ -227,7 +221,7 @@ def pairs_within(sig: np.ndarray, cls: np.ndarray, hot: int, split: bool) -> tup
     left, right, n, hots = [], [], [], []
     for length in np.unique(size[size > 1]).tolist():
         which = at[size == length]
-        if length > hot and split:
+        if length > hot:
             for s in which.tolist():
                 hots.append((sig[s : s + length], cls[s : s + length]))
             continue
@@ -246,26 +240,52 @@ def pairs_within(sig: np.ndarray, cls: np.ndarray, hot: int, split: bool) -> tup
     return a[at], b[at], np.add.reduceat(n, at), hots
 
 
-def _merger(level: int):
-    def merge(rows: pa.Table) -> pa.Table:
-        parts = []
-        cols = [rows.column(c).to_pylist() for c in ("range", "sig", "doc", "classes")]
-        if cols[0][0] < 0:
-            for _, s, d, c in zip(*cols):
-                parts.append(_rows(0, np.frombuffer(c, U64), np.frombuffer(s, np.int64), np.frombuffer(d, np.int64)))
-        else:
-            sigs, classes = [], []
-            for _, s, d, c in zip(*cols):
-                count = len(s) // 5
-                sigs.append(unpack(s))
-                classes.append(np.frombuffer(c, U64)[np.frombuffer(d, np.uint16 if len(d) == 2 * count else np.uint32)])
-            a, b, n, hots = pairs_within(np.concatenate(sigs), np.concatenate(classes), HOT, level < LEVELS)
-            parts.append(_rows(1, a, b, n))
-            for s, c in hots:
-                parts.append(_rows(2, s | U64((cols[0][0] & 0x7FFFFF) << 40), c, np.zeros(len(c), np.int64)))
-        return pa.table({x: np.concatenate([p[x] for p in parts]) for x in ("kind", "a", "b", "n")})
-
-    return merge
+def merge(rows: pa.Table) -> pa.Table:
+    """Of one range: kind 0 members (class, id, signatures), 1 pairs (a, b, shared), 2 hot (signature, class)."""
+    parts = []
+    cols = [rows.column(c).to_pylist() for c in ("range", "sig", "doc", "classes")]
+    if cols[0][0] < 0:
+        for _, s, d, c in zip(*cols):
+            parts.append(_rows(0, np.frombuffer(c, U64), np.frombuffer(s, np.int64), np.frombuffer(d, np.int64)))
+    else:
+        sigs, classes = [], []
+        for _, s, d, c in zip(*cols):
+            count = len(s) // 5
+            sigs.append(unpack(s))
+            classes.append(np.frombuffer(c, U64)[np.frombuffer(d, np.uint16 if len(d) == 2 * count else np.uint32)])
+        a, b, n, hots = pairs_within(np.concatenate(sigs), np.concatenate(classes), HOT)
+        parts.append(_rows(1, a, b, n))
+        for s, c in hots:
+            parts.append(_rows(2, s | U64((cols[0][0] & 0x7FFFFF) << 40), c, np.zeros(len(c), np.int64)))
+    return pa.table({x: np.concatenate([p[x] for p in parts]) for x in ("kind", "a", "b", "n")})
+
+
+def block_pairs(rows: pa.Table) -> pa.Table:
+    """Pairs of the classes of two blocks of one hot signature, or of one block with itself."""
+    cls, block, other = (rows.column(c).to_numpy() for c in ("cls", "block", "other"))
+    if block.min() == block.max() and other[0] == block[0]:
+        i, j = np.triu_indices(len(cls), 1)
+        a, b = cls[i], cls[j]
+    else:
+        left, right = cls[block < other], cls[block > other]
+        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.ones(len(a), np.int64)})
+
+
+def hot_pairs(hot: DataFrame, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of heavy classes by hot signatures, hot signatures of each class).
+
+    hot: ``sig, cls``; leads: ``cls, sigs``. A signature's heavy classes are cut into blocks of about HOT at
+    most; each pair of blocks is a group of its own.
+    """
+    counts = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"))
+    heavy = counts.join(leads, "cls").where(F.col("hot") > F.col("sigs") * HEAVY).select("cls")
+    rows = hot.join(heavy, "cls", "left_semi")
+    blocks = rows.groupBy("sig").agg(F.ceil(2 * F.count(F.lit(1)) / HOT).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "sig").withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
+    met = placed.select("sig", "cls", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return met.groupBy("sig", "low", "high").applyInArrow(block_pairs, "a long, b long, n long"), counts
 
 
 def _verifier(k: int, threshold: float):
@@ -307,24 +327,24 @@ def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold:
     """
     base = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     ranges = int(max(16, base.count() // ROWS_A_RANGE))
-    rows, found, level = base, None, 0
-    while True:
-        signed = rows.mapInArrow(_signer(id_column, k, threshold, miss, ranges, level), SIGNED)
-        merged = written(signed.groupBy("range").applyInArrow(_merger(level), MERGED), f"merged{level}")
-        if level == 0:
-            members = merged.where("kind = 0").select(F.col("a").alias("cls"), F.col("b").alias("id"), F.col("n"))
-            leads = members.groupBy("cls").agg(F.min("id").alias("id"))
-        part = merged.where("kind = 1").select("a", "b", "n")
-        found = part if found is None else found.unionByName(part)
-        hot = merged.where("kind = 2").select(F.col("a").alias("salt"), F.col("b").alias("cls"))
-        if level >= LEVELS or hot.isEmpty():
-            break
-        # the rows of a hot signature come again, split by the signatures of another partition
-        level += 1
-        rows = hot.join(leads, "cls").join(base, "id").select("id", "text", "salt")
-    close = written(found.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED).select("a", "b"), "close")
+    signed = base.mapInArrow(_signer(k, threshold, miss, ranges), SIGNED)
+    merged = written(signed.groupBy("range").applyInArrow(merge, MERGED), "merged")
+    members = merged.where("kind = 0").select(F.col("a").alias("cls"), F.col("b").alias("id"), F.col("n"))
+    leads = members.groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("sigs"))
+    shared = merged.where("kind = 1").select("a", "b", "n")
+    hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
+    enough = F.col("n") >= NEED
+    if hot.isEmpty():
+        counted = shared.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    else:
+        among, counts = hot_pairs(hot, leads.select("cls", "sigs"))
+        counted = shared.unionByName(among).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        for side in ("a", "b"):
+            counted = counted.join(counts.select(F.col("cls").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
+        enough = F.col("n") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) >= NEED
+    close = written(counted.where(enough).select("a", "b"), "close")
     asked = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(leads, "cls")
-    sets = asked.join(base, "id").select("cls", "text").mapInArrow(_setter(k), "cls long, shingles binary").dropDuplicates(["cls"])
+    sets = asked.select("cls", "id").join(base, "id").select("cls", "text").mapInArrow(_setter(k), "cls long, shingles binary").dropDuplicates(["cls"])
     pairs = (
         close.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
