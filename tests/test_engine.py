@@ -10,7 +10,7 @@ from tonelens.operators import series, summary
 from tonelens.operators.ids import dense_ids
 from tonelens.operators.preview import TextPreview, map_codes, union_by_name
 from tonelens.operators.score import map_text, score, score_hits, score_prefix, term_hits
-from tonelens.plans.banks import score_banks
+from tonelens.plans.banks import download, prepare, score_banks
 from tonelens.plans.pipeline import TonePipeline
 from tonelens.sources import readers, sinks
 from tonelens.streaming import live
@@ -199,5 +199,32 @@ def test_streams(spark, sf, lexicon):
     assert got.count() == docs.count()
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scoring_shuffles_nothing_and_reads_only_its_columns(spark, sf):
+    speeches, lex = spark.read.parquet(f"{sf}/speeches.parquet"), spark.read.parquet(f"{sf}/lexicon.parquet")
+    scored = plan(score(speeches.select("speech_id", "text"), lex, ["tone_a", "tone_b"]).select("speech_id", "tone_a_sentiment_allwords"))
+    assert "Exchange" not in scored and "Join" not in scored and "ReadSchema: struct<speech_id:bigint,text:string>" in scored
+    long = plan(term_hits(speeches, lex, "speech_id"))
+    assert "BroadcastHashJoin" in long and "CartesianProduct" not in long
+
+
+def test_bank_filter_is_pushed_down(spark, sf, tmp_path):
+    speeches, iso = spark.read.parquet(f"{sf}/speeches.parquet"), spark.read.parquet(f"{sf}/iso_map.parquet")
+    assert "EqualTo(CentralBank,Bank of Siamel)" in plan(prepare(speeches, iso, "Bank of Siamel"))
+    sinks.write_partitioned(speeches, str(tmp_path / "p"))
+    assert "PartitionFilters: [isnotnull(CentralBank" in plan(prepare(spark.read.parquet(str(tmp_path / "p")), iso, "Bank of Siamel"))
+
+
+def test_download_keeps_what_is_there(tmp_path):
+    source, target = tmp_path / "a.csv", tmp_path / "d/b.csv"
+    source.write_text("x")
+    assert download(source.as_uri(), str(target)) == str(target) and target.read_text() == "x"
+    source.write_text("y")
+    assert open(download(source.as_uri(), str(target))).read() == "x"
+
+
 def test_names():
     assert tonelens.__version__ and all(getattr(tonelens, n) for n in tonelens.__all__)

@@ -18,6 +18,17 @@ def prepare(speeches: DataFrame, iso_map: DataFrame, bank: str | None = None, te
     return map_codes(with_nonblank_text(rows, text_column), "Country", iso_map, "iso3", "iso2", "iso2")
 
 
+def download(url: str, path: str) -> str:
+    """The file at an address, fetched to a path once; a file already there is kept."""
+    import os
+    import urllib.request
+
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        urllib.request.urlretrieve(url, path)
+    return path
+
+
 def to_partitions(spark: SparkSession, csv_path: str, folder: str, schema=None) -> DataFrame:
     """A downloaded CSV as one folder for each bank; rows without a bank are left out."""
     from ..sources.readers import read_file
