@@ -1,11 +1,14 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import collections
+import glob
 import itertools
 import math
+import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -13,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tonelens.llm import boilerplate, garbled, language, leaks, lookalike, neardup, packing, repetition, scanned, tokens
-from tonelens.llm.queries import QUERIES
+from tonelens.llm.queries import QUERIES, SQL
 from tonelens.llm.textkit import LAST, Codes, Words
 
 WORD = re.compile(r"[^\W_]+")
@@ -54,6 +57,23 @@ def test_words_equal_regex(texts):
     assert all(len(v) == 1 for v in pairs.values()) and len({v for s in pairs.values() for v in s}) == len(pairs)
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    want = con.execute(SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(tuple(r[n] for n in names) for r in QUERIES[name](spark, sf).collect()) == sorted(want.fetchall())
+
+
+def test_tiny_texts_with_hot_signatures(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 2)
+    texts = [f"a b c d e x{i}" for i in range(6)] + ["a b c d e"] + [f"q{i} a b c d e" for i in range(3)]
+    got = neardup.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 0.5)
+    assert set(map(tuple, got.collect())) == brute_pairs(texts, 0.5)
+
+
 # Near duplicates
 
 

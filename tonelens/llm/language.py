@@ -10,6 +10,7 @@ it in the fewest bits; sentences with little evidence follow their document.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -178,8 +179,9 @@ def _shares(batches, samples):
     for batch in batches:
         ids, texts = batch.column("id"), batch.column("text").to_pylist()
         for a, b in slices(texts):
-            # a garbled text has the language it had before
-            s, top, sure = label([t if not t or t.isascii() else garble.repair(t, plausible)[1] for t in texts[a:b]], coder)
+            # a garbled text has the language it had before, and so has one in compatibility forms
+            plain = [t if not t or t.isascii() else unicodedata.normalize("NFKC", garble.repair(t, plausible)[1]) for t in texts[a:b]]
+            s, top, sure = label(plain, coder)
             words = np.bincount(s["doc"] * k + s["lang"], s["words"], (b - a) * k).reshape(-1, k)
             share = words / np.maximum(words.sum(axis=1, keepdims=True), 1)
             d, i = np.nonzero(share)
