@@ -137,6 +137,15 @@ def test_dense_ids_over_ranges(spark, rows):
     assert all(sorted(r.n for r in part) == list(range(1, len(part) + 1)) for part in ([r for r in per.collect() if r.g == g] for g in range(3)))
 
 
+def test_dense_ids_by_text(spark):
+    words = [None, "", "a", "ab", "zoë", "Ж", "a" * 9, "😀", "b", "a" * 8 + "b"] * 30
+    got = dense_ids(spark.createDataFrame([(w,) for w in words], "w string"), "w", "n", bucket_rows=20).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, len(words) + 1))
+    assert [r.w for r in got] == sorted(words, key=lambda w: (w is not None, (w or "").encode()))
+    with pytest.raises(ValueError):
+        dense_ids(spark.range(1).select(F.array("id").alias("a")), "a", "n")
+
+
 def test_summary(spark):
     df = spark.createDataFrame([("a", "xx", datetime.datetime(2024, 1, 1)), ("a", "xxx", datetime.datetime(2024, 1, 3, 12)), ("b", None, None), (None, "x", datetime.datetime(2023, 1, 1))], "g string, text string, date timestamp_ntz")
     counts, stats, span, ranges = summary.summary(df, "g")

@@ -22,7 +22,9 @@ def dense_ids(df: DataFrame, order_by: str | list, name: str = "id", partition_b
     groups = [partition_by] if partition_by else []
     kind = df.schema[keys[0]].dataType
     rows = df.count()
-    if rows <= bucket_rows or not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.StringType)):
+        raise ValueError(f"rows can't be numbered by {keys[0]}, which is a {kind.simpleString()}")
+    if rows <= bucket_rows:
         window = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
         return df.withColumn(name, F.row_number().over(window.orderBy(*keys)).cast("long"))
     number = _number(F.col(keys[0]), kind)
@@ -34,6 +36,8 @@ def dense_ids(df: DataFrame, order_by: str | list, name: str = "id", partition_b
 def _number(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.unix_seconds(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):  # the first six bytes, which sort as the text does and fit a double
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return c.cast("double")
 
 
