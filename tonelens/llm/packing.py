@@ -20,27 +20,53 @@ CAPACITY = 2048
 ROWS_A_BUCKET = 250_000
 
 
-def _exact(gap: int, left: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that fill the gap exactly; the longest first length wins."""
-    if left[gap]:
-        return [gap]
-
-    def pair(g: int) -> list[int] | None:
-        if g < 2:
+class Sums:
+    """Sums of two available lengths. Lengths only run out, so an index some steps old names every sum there is
+    and a few that are gone; it is made again once it misleads."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.renew()
+
+    def renew(self) -> None:
+        there = (self.left > 0).astype(np.float32)
+        self.pairs = np.convolve(there, there)[: len(there)] > 0.5
+        self.misled = 0
+
+    def pair(self, gap: int) -> list[int] | None:
+        """Two available lengths with this sum; the longest first length wins."""
+        if gap < 2 or not self.pairs[gap]:
             return None
-        a = np.arange(g - 1, (g - 1) // 2, -1)
-        ok = np.flatnonzero((left[a] > 0) & (left[g - a] > 0) & ((a * 2 != g) | (left[a] > 1)))
-        return [int(a[ok[0]]), g - int(a[ok[0]])] if len(ok) else None
-
-    if two := pair(gap):
-        return two
-    for a in np.flatnonzero(left[: gap - 1])[::-1].tolist() if gap > 2 else ():
-        left[a] -= 1
-        two = pair(gap - a)
-        left[a] += 1
-        if two:
-            return [a, *two]
-    return None
+        left = self.left
+        a = np.arange(gap - 1, (gap - 1) // 2, -1)
+        ok = (left[a] > 0) & (left[gap - a] > 0)
+        if gap % 2 == 0 and left[gap // 2] < 2:
+            ok[-1] = False
+        at = int(ok.argmax())
+        if ok[at]:
+            return [int(a[at]), gap - int(a[at])]
+        self.misled += 1
+        return None
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths that fill the gap exactly."""
+        if self.left[gap]:
+            return [gap]
+        if two := self.pair(gap):
+            return two
+        if gap < 3:
+            return None
+        a = np.arange(gap - 2, 0, -1)
+        for x in a[(self.left[a] > 0) & self.pairs[gap - a]].tolist():
+            self.left[x] -= 1
+            two = self.pair(gap - x)
+            self.left[x] += 1
+            if two:
+                return [x, *two]
+            if self.misled > 16:
+                self.renew()
+                return self.exact(gap)
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -49,6 +75,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     for length, n in counts.items():
         left[length] = n
     left[0] = 0
+    sums = Sums(left)
     out = []
     top = capacity
     while True:
@@ -60,7 +87,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         left[top] -= 1
         taken = [top]
         while gap:
-            more = _exact(gap, left)
+            more = sums.exact(gap)
             if more is None:
                 fits = np.flatnonzero(left[1 : gap + 1])
                 if not len(fits):
