@@ -38,6 +38,8 @@ from .textkit import U64, Codes, Words, first_of, mix, slices
 NEED = 3
 HOT = 2048
 HEAVY = 0.15
+#: Rows of two numbers sent to every task at most.
+SENT_ROWS = 1_000_000
 SMALL_BAND = 5
 FLUSH = 1 << 21
 ROWS_A_RANGE = 10_000
@@ -269,7 +271,8 @@ def block_pairs(rows: pa.Table) -> pa.Table:
     else:
         left, right = cls[block < other], cls[block > other]
         a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.ones(len(a), np.int64)})
+    weight = 1 if rows.column("sig")[0].as_py() & 3 == 2 else NEED
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.full(len(a), weight, np.int64)})
 
 
 def hot_pairs(hot: DataFrame, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -343,8 +346,9 @@ def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold:
             counted = counted.join(counts.select(F.col("cls").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
         enough = F.col("n") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) >= NEED
     close = written(counted.where(enough).select("a", "b"), "close")
-    asked = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(leads, "cls")
-    sets = asked.select("cls", "id").join(base, "id").select("cls", "text").mapInArrow(_setter(k), "cls long, shingles binary").dropDuplicates(["cls"])
+    asked = written(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(leads, "cls").select("cls", "id"), "asked")
+    # few candidates are sent to the texts; of many, the texts are shuffled to them
+    sets = base.join(F.broadcast(asked) if asked.count() <= SENT_ROWS else asked, "id").select("cls", "text").mapInArrow(_setter(k), "cls long, shingles binary").dropDuplicates(["cls"])
     pairs = (
         close.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
@@ -414,4 +418,4 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 def p5_groups(spark, sf_dir: str) -> DataFrame:
     speeches = table(spark, sf_dir, "speeches").select("speech_id", "text")
-    return similar_groups(speeches, "speech_id", "text", 0.5).withColumnRenamed("id", "speech_id")
+    return similar_groups(speeches, "speech_id", "text").withColumnRenamed("id", "speech_id")
