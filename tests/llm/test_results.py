@@ -108,6 +108,7 @@ def test_pairs_equal_brute_force(spark, threshold):
 def test_hot_signatures(spark, monkeypatch, shared, own, threshold):
     """Texts made of common lines for the larger part, and texts with a few of them; some of these similar."""
     monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
     common = " ".join(f"c{i}" for i in range(shared))
     texts = [f"{common} " + " ".join(f"t{i - i % 2 * (own > 100)}x{j if j % 50 else i}" for j in range(own)) for i in range(12)]
     want = brute_pairs(texts, threshold)

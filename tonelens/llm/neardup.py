@@ -16,10 +16,9 @@ shingle sets.
 
 Texts with the same set are one class; a class is indexed once, so copies make no pairs among
 themselves. Allocation by cost: a signature that more than ``HOT`` classes share, as one of common lines
-does, is dropped by the texts that have few such ones (at most ``HEAVY`` of theirs), since what else they
-must share with a similar text gives them enough others; pairs get the benefit of the dropped ones when
-signatures are counted. Only texts made of such lines for a larger part keep them, and meet in blocks of
-at most ``HOT``, so no task holds an unbounded group.
+does, is dropped by the texts of which at most ``HEAVY`` of the signatures are such; S allows for it. So the
+pairs made grow with the texts and not with their square. Texts made of common lines for a larger part keep
+these signatures and meet in blocks of about ``BLOCK``, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -36,8 +35,9 @@ from .shared import table, written
 from .textkit import U64, Codes, Words, first_of, mix, slices
 
 NEED = 3
-HOT = 2048
-HEAVY = 0.15
+HOT = 64
+HEAVY = 0.05
+BLOCK = 1024
 #: Rows of two numbers sent to every task at most.
 SENT_ROWS = 1_000_000
 SMALL_BAND = 5
@@ -53,8 +53,8 @@ def plan(threshold: float, miss: float) -> tuple[float, int]:
     """(segments for each shingle of a band's smallest set, segments looked at)."""
 
     def agree(x: float, m: float) -> float:
-        """Chance that a segment agrees and holds two shingles or more, at summed size x."""
-        d, t = x * (1 - threshold) / (1 + threshold) / m, x * threshold / (1 + threshold) / m
+        """Chance that a segment agrees and holds two shingles or more, at summed size x, of what isn't dropped."""
+        d, t = x * (1 - threshold) / (1 + threshold) / m, x * (threshold / (1 + threshold) - HEAVY / 2) / m
         return math.exp(-d) * (1 - math.exp(-t) * (1 + t))
 
     # summed sizes of pairs whose smaller set is in [1, 2): from 2 to 2 + 2 / threshold, at most 4 + 2
@@ -275,20 +275,20 @@ def block_pairs(rows: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.full(len(a), weight, np.int64)})
 
 
-def hot_pairs(hot: DataFrame, leads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of heavy classes by hot signatures, hot signatures of each class).
+def hot_pairs(hot: DataFrame, leads: DataFrame) -> DataFrame:
+    """``a, b, n`` of heavy classes by the hot signatures they share.
 
-    hot: ``sig, cls``; leads: ``cls, sigs``. A signature's heavy classes are cut into blocks of about HOT at
-    most; each pair of blocks is a group of its own.
+    hot: ``sig, cls``; leads: ``cls, sigs``. A signature's heavy classes are cut into blocks; each pair of
+    blocks is a group of its own.
     """
     counts = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"))
     heavy = counts.join(leads, "cls").where(F.col("hot") > F.col("sigs") * HEAVY).select("cls")
     rows = hot.join(heavy, "cls", "left_semi")
-    blocks = rows.groupBy("sig").agg(F.ceil(2 * F.count(F.lit(1)) / HOT).cast("int").alias("blocks"))
+    blocks = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = rows.join(blocks, "sig").withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
     met = placed.select("sig", "cls", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return met.groupBy("sig", "low", "high").applyInArrow(block_pairs, "a long, b long, n long"), counts
+    return met.groupBy("sig", "low", "high").applyInArrow(block_pairs, "a long, b long, n long")
 
 
 def _verifier(k: int, threshold: float):
@@ -336,16 +336,9 @@ def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold:
     leads = members.groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("sigs"))
     shared = merged.where("kind = 1").select("a", "b", "n")
     hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
-    enough = F.col("n") >= NEED
-    if hot.isEmpty():
-        counted = shared.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    else:
-        among, counts = hot_pairs(hot, leads.select("cls", "sigs"))
-        counted = shared.unionByName(among).groupBy("a", "b").agg(F.sum("n").alias("n"))
-        for side in ("a", "b"):
-            counted = counted.join(counts.select(F.col("cls").alias(side), F.col("hot").alias(f"hot_{side}")), side, "left")
-        enough = F.col("n") + F.least(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0))) >= NEED
-    close = written(counted.where(enough).select("a", "b"), "close")
+    if not hot.isEmpty():
+        shared = shared.unionByName(hot_pairs(hot, leads.select("cls", "sigs")))
+    close = written(shared.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED).select("a", "b"), "close")
     asked = written(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(leads, "cls").select("cls", "id"), "asked")
     # few candidates are sent to the texts; of many, the texts are shuffled to them
     sets = base.join(F.broadcast(asked) if asked.count() <= SENT_ROWS else asked, "id").select("cls", "text").mapInArrow(_setter(k), "cls long, shingles binary").dropDuplicates(["cls"])
