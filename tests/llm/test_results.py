@@ -269,6 +269,7 @@ def test_lookalikes():
     for x, want in cases.items():
         got, n = writer.rewrite(x)
         assert got == want and n > 0 and writer.suspects([x]).tolist() == [0]
+    assert writer.rewrite("слово，") == ("слово,", 0)
     for x in ("plain text", "café – “quoted” © €5\n\f", "слово word", "Москва", "naïve façade"):
         assert writer.rewrite(x) == (x, 0) and not len(writer.suspects([x]))
 
