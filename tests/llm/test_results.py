@@ -116,6 +116,16 @@ def test_hot_signatures(spark, monkeypatch, shared, own, threshold):
     assert set(map(tuple, got.collect())) == want and len(want) == (66 if own == 20 else 6)
 
 
+def test_many_variants_and_texts_that_contain_them(spark):
+    """Variants of one text share signatures in more than HOT classes; texts nearly twice as long agree in no others."""
+    base = [f"b{i}" for i in range(258)]
+    texts = [" ".join(base[:at] + [f"v{at}"] + base[at + 1 :]) for at in range(10, 248, 2)]
+    texts += [" ".join(base + [f"o{i}x{j}" for j in range(236)]) for i in range(12)]
+    want = brute_pairs(texts, 0.5)
+    got = neardup.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 0.5)
+    assert set(map(tuple, got.collect())) == want and sum(b >= 119 for a, b in want) == 119 * 12
+
+
 def test_groups(spark):
     texts = planted(5)
     rows = {r.id: r for r in neardup.similar_groups(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t").collect()}

@@ -6,8 +6,8 @@ hash into m segments, m in proportion to the size band of the smaller set; a dif
 spoils one segment, so the pair agrees in the segments that none of the D hits (pigeonhole), and
 each text is indexed by its subsets of the segments. Segments that hold a single shingle are left
 out (the costly ones: a common line is such a shingle), and so are those beyond the first S; S is
-the smallest number for which a pair exactly at the threshold agrees in fewer than ``NEED`` of
-them with a probability of at most ``miss`` under the random hash, whatever the texts are. For
+the smallest number for which a pair exactly at the threshold agrees in fewer than ``NEED`` and
+``DROPS`` of them together with a probability of at most ``miss`` under the random hash, whatever the texts are. For
 thresholds as low as 0.5 this replaces the deterministic bound, which would need nearly one
 segment for each shingle and so lists as long as a plain inverted index's; one-deletion
 neighbourhoods serve no better there and aren't built (README, "Problem 5"). Small sets are
@@ -15,10 +15,11 @@ indexed by each of their shingles, which is exact. Every candidate is verified e
 shingle sets.
 
 Texts with the same set are one class; a class is indexed once, so copies make no pairs among
-themselves. Allocation by cost: a signature that more than ``HOT`` classes share, as one of common lines
-does, is dropped by the texts of which at most ``HEAVY`` of the signatures are such; S allows for it. So the
-pairs made grow with the texts and not with their square. Texts made of common lines for a larger part keep
-these signatures and meet in blocks of about ``BLOCK``, so no task holds an unbounded group.
+themselves. Allocation by cost: each text drops at most ``DROPS`` of its signatures in a band, those that
+most classes share, if they are ``HOT``, shared by more than that many. Both texts of a pair drop from the
+front of one order, so at most ``DROPS`` of the signatures they agree in are lost, which S allows for. So the
+pairs made by a few common lines grow with the texts and not with their square. What is left of hot signatures
+meets in blocks of about ``BLOCK``, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -36,7 +37,9 @@ from .textkit import U64, Codes, Words, first_of, mix, slices
 
 NEED = 3
 HOT = 64
-HEAVY = 0.05
+#: Hot signatures a text drops in a band at most, and their share of all its signatures, which bounds it for small sets.
+DROPS = 4
+DROP_SHARE = 0.05
 BLOCK = 1024
 #: Rows of two numbers sent to every task at most.
 SENT_ROWS = 1_000_000
@@ -53,8 +56,8 @@ def plan(threshold: float, miss: float) -> tuple[float, int]:
     """(segments for each shingle of a band's smallest set, segments looked at)."""
 
     def agree(x: float, m: float) -> float:
-        """Chance that a segment agrees and holds two shingles or more, at summed size x, of what isn't dropped."""
-        d, t = x * (1 - threshold) / (1 + threshold) / m, x * (threshold / (1 + threshold) - HEAVY / 2) / m
+        """Chance that a segment agrees and holds two shingles or more, at summed size x."""
+        d, t = x * (1 - threshold) / (1 + threshold) / m, x * threshold / (1 + threshold) / m
         return math.exp(-d) * (1 - math.exp(-t) * (1 + t))
 
     # summed sizes of pairs whose smaller set is in [1, 2): from 2 to 2 + 2 / threshold, at most 4 + 2
@@ -63,7 +66,7 @@ def plan(threshold: float, miss: float) -> tuple[float, int]:
     p, s = worst(m), 32
 
     def missed(n: int) -> float:
-        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(NEED))
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(NEED + DROPS))
 
     while missed(s) > miss:
         s += 16
@@ -101,6 +104,11 @@ def set_classes(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out >> U64(1)
 
 
+def _low_bits(band: int) -> np.uint64:
+    """Odd and even tell a text's two bands apart; below 2 one signature makes a candidate."""
+    return U64(band if band < 2 else 2 + band % 2)
+
+
 def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
     """(text, signature) for the texts' own bands and the bands below them."""
     per, look = plan(threshold, miss)
@@ -113,7 +121,7 @@ def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, mi
         own, hashes = d[use], h[use]
         if b < SMALL_BAND:
             docs.append(own)
-            sigs.append(mix(hashes ^ U64(b + 1)) << U64(2) | U64(min(b, 2)))
+            sigs.append(mix(hashes ^ U64(b + 1)) << U64(2) | _low_bits(b))
             continue
         m = max(8, round(per * 2**b))
         for rep in range(-(-look // m)):
@@ -129,7 +137,7 @@ def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, mi
             total = np.add.reduceat(mix(x), at)
             held = np.diff(np.append(at, len(key))) > 1
             docs.append(key[at[held]] >> 20)
-            sigs.append(mix(total[held] + U64((b * 64 + rep) * 0xD1B54A32D192ED03 % 2**64) + (key[at[held]] & 0xFFFFF).astype(U64)) << U64(2) | U64(2))
+            sigs.append(mix(total[held] + U64((b * 64 + rep) * 0xD1B54A32D192ED03 % 2**64) + (key[at[held]] & 0xFFFFF).astype(U64)) << U64(2) | _low_bits(b))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     return np.concatenate(docs), np.concatenate(sigs)
@@ -219,7 +227,7 @@ def pairs_within(sig: np.ndarray, cls: np.ndarray, hot: int) -> tuple[np.ndarray
     sig, cls = sig[keep], cls[keep]
     at = first_of(sig)
     size = np.diff(np.append(at, len(sig)))
-    weight = np.where((sig[at] & U64(3)) == U64(2), 1, NEED) if len(at) else size
+    weight = np.where((sig[at] & U64(3)) >= U64(2), 1, NEED) if len(at) else size
     left, right, n, hots = [], [], [], []
     for length in np.unique(size[size > 1]).tolist():
         which = at[size == length]
@@ -243,7 +251,7 @@ def pairs_within(sig: np.ndarray, cls: np.ndarray, hot: int) -> tuple[np.ndarray
 
 
 def merge(rows: pa.Table) -> pa.Table:
-    """Of one range: kind 0 members (class, id, signatures), 1 pairs (a, b, shared), 2 hot (signature, class)."""
+    """Of one range: kind 0 members (class, id, signatures), 1 pairs (a, b, shared), 2 hot (signature, class, classes)."""
     parts = []
     cols = [rows.column(c).to_pylist() for c in ("range", "sig", "doc", "classes")]
     if cols[0][0] < 0:
@@ -258,7 +266,7 @@ def merge(rows: pa.Table) -> pa.Table:
         a, b, n, hots = pairs_within(np.concatenate(sigs), np.concatenate(classes), HOT)
         parts.append(_rows(1, a, b, n))
         for s, c in hots:
-            parts.append(_rows(2, s | U64((cols[0][0] & 0x7FFFFF) << 40), c, np.zeros(len(c), np.int64)))
+            parts.append(_rows(2, s | U64((cols[0][0] & 0x7FFFFF) << 40), c, np.full(len(c), len(c))))
     return pa.table({x: np.concatenate([p[x] for p in parts]) for x in ("kind", "a", "b", "n")})
 
 
@@ -271,20 +279,21 @@ def block_pairs(rows: pa.Table) -> pa.Table:
     else:
         left, right = cls[block < other], cls[block > other]
         a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-    weight = 1 if rows.column("sig")[0].as_py() & 3 == 2 else NEED
+    weight = 1 if rows.column("sig")[0].as_py() & 3 >= 2 else NEED
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.full(len(a), weight, np.int64)})
 
 
 def hot_pairs(hot: DataFrame, leads: DataFrame) -> DataFrame:
-    """``a, b, n`` of heavy classes by the hot signatures they share.
+    """``a, b, n`` of classes by the hot signatures they share and neither drops.
 
-    hot: ``sig, cls``; leads: ``cls, sigs``. A signature's heavy classes are cut into blocks; each pair of
-    blocks is a group of its own.
+    hot: ``sig, cls, n``, n the classes that share it; leads: ``cls, sigs``. The classes of a signature are cut
+    into blocks; each pair of blocks is a group of its own.
     """
-    counts = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"))
-    heavy = counts.join(leads, "cls").where(F.col("hot") > F.col("sigs") * HEAVY).select("cls")
-    rows = hot.join(heavy, "cls", "left_semi")
-    blocks = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    order = Window.partitionBy("cls", F.col("sig").bitwiseAND(1)).orderBy(F.desc("n"), "sig")
+    ranked = hot.withColumn("rank", F.row_number().over(order)).join(leads, "cls")
+    rows = ranked.where(F.col("rank") > F.least(F.lit(DROPS), F.floor(F.col("sigs") * DROP_SHARE))).select("sig", "cls")
+    rows = written(rows, "hot")
+    blocks = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("left")).where("left > 1").drop("left")
     placed = rows.join(blocks, "sig").withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
     met = placed.select("sig", "cls", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
@@ -335,7 +344,7 @@ def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold:
     members = merged.where("kind = 0").select(F.col("a").alias("cls"), F.col("b").alias("id"), F.col("n"))
     leads = members.groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("sigs"))
     shared = merged.where("kind = 1").select("a", "b", "n")
-    hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
+    hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"), "n")
     if not hot.isEmpty():
         shared = shared.unionByName(hot_pairs(hot, leads.select("cls", "sigs")))
     close = written(shared.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED).select("a", "b"), "close")
