@@ -240,6 +240,22 @@ def test_binomial_bound_and_cutoffs():
     assert cut["run_share", 0] == 0.3 and cut["line_share", 0] == repetition.GRID[2] and cut["line_share", 1] is None
 
 
+def test_cutoffs_rest_on_all_documents(spark):
+    """600 documents certify all shares; an eighth of them would certify none."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(70)) for i in range(600)]
+    again = "Own line\n" * 30 + " ".join(f"y{j}" for j in range(70))
+    df = spark.createDataFrame([*enumerate(texts), (600, again)], "k long, t string")
+    docs, cuts = repetition.flagged(df, "k", "t")
+    assert {(r.share, r.cutoff is None) for r in cuts.where("stratum = 1").collect()} == {(s, False) for s in repetition.SHARES}
+    assert {r.good for r in cuts.where("stratum = 1 AND share = 'line_share'").collect()} <= {600, 601}
+    assert [r.id for r in docs.where("array_contains(rejected_by, 'line_share')").collect()] == [600]
+
+
+@pytest.mark.parametrize("k, n", [(0, 50), (0, 400), (3, 900), (10, 900), (18, 1000), (40, 2000)])
+def test_certified_equals_the_bound(k, n):
+    assert repetition.certified(k, n, 0.02, 0.003) == (repetition.upper_bound(k, n, 0.003) <= 0.02)
+
+
 # Encodings, look-alikes, languages
 
 

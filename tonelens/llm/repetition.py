@@ -2,7 +2,7 @@
 
 Four shares are measured for each document: words in runs of eight words that began before, and
 words in sentences, lines and paragraphs that stood before. A cutoff for each share and stratum is
-chosen on labelled holdouts: cutoffs are tested from the strictest down, in fixed sequence, and a
+chosen on all labelled documents: cutoffs are tested from the strictest down, in fixed sequence, and a
 cutoff is kept while an exact binomial (Clopper-Pearson) upper bound on the share of good documents
 it rejects stays at or below ``alpha``; the error budget is divided over shares and strata
 (Bonferroni), so all kept cutoffs hold together with probability 1 - ``delta``.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 from .textkit import U64, Codes, Words, mix, slices
 
 RUN = 8
@@ -102,6 +102,18 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
+def certified(k: int, n: int, alpha: float, delta: float) -> bool:
+    """Whether ``upper_bound`` is at most ``alpha``; summed from k down until the terms vanish, so large counts take no longer."""
+    if k >= n * alpha:
+        return False
+    term, total = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(alpha) + (n - k) * math.log1p(-alpha)), 0.0
+    while k >= 0 and term > total * 1e-17:
+        total += term
+        term *= k / (n - k + 1) * (1 - alpha) / alpha
+        k -= 1
+    return total <= delta
+
+
 def cutoffs(counts: dict, floor: dict, alpha: float, delta: float, strata: int = len(STRATA) + 1) -> dict:
     """(share, stratum) -> cutoff. counts: (share, stratum) -> (good documents, of these at or above each
     cutoff of GRID). A stratum whose strictest cutoff can't be certified, as with too few good documents,
@@ -112,22 +124,21 @@ def cutoffs(counts: dict, floor: dict, alpha: float, delta: float, strata: int =
             good, above = counts.get((s, t), (0, [0] * len(GRID)))
             kept = None
             for cut, k in zip(GRID, above):
-                if cut < floor.get(s, 0) - 1e-12 or upper_bound(int(k), int(good), each) > alpha:
+                if cut < floor.get(s, 0) - 1e-12 or not certified(int(k), int(good), alpha, each):
                     break
                 kept = cut
             out[s, t] = min(kept, floor[s]) if s in floor and kept is not None else kept if s not in floor else floor[s]
     return out
 
 
-def flagged(df: DataFrame, id_column: str, text_column: str, shares: tuple = SHARES, holdout: int = 8, alpha: float = 0.02, delta: float = 0.05, case: float = CASE) -> tuple[DataFrame, DataFrame]:
+def flagged(df: DataFrame, id_column: str, text_column: str, shares: tuple = SHARES, alpha: float = 0.02, delta: float = 0.05, case: float = CASE) -> tuple[DataFrame, DataFrame]:
     """(shares of each document with ``stratum`` and ``rejected_by``, cutoffs table).
 
-    A document is good if less than ``case`` of its words lie in repeated runs. The labelled holdout
-    is every document whose id hashes to 0 modulo ``holdout``; of it only counts by stratum, share
-    and cutoff, a fixed number, come to the driver.
+    A document is good if less than ``case`` of its words lie in repeated runs. All documents are
+    labelled and measured once; only counts by stratum, share and cutoff, a fixed number, come to the driver.
     """
-    held = repetition(df.where(F.pmod(F.xxhash64(F.col(id_column).cast("long")), F.lit(holdout)) == 0), id_column, text_column, shares)
-    held = held.withColumn("stratum", stratum(F.col("words"))).where((F.col("run_share") < case) & (F.col("words") > 0))
+    measured = written(repetition(df, id_column, text_column, shares), "shares").withColumn("stratum", stratum(F.col("words")))
+    held = measured.where((F.col("run_share") < case) & (F.col("words") > 0))
     sums = [F.sum((F.col(s) >= c).cast("long")).alias(f"{s}_{i}") for s in shares for i, c in enumerate(GRID)]
     rows = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("good"), *sums).collect()
     counts = {(s, r["stratum"]): (r["good"], [r[f"{s}_{i}"] for i in range(len(GRID))]) for r in rows for s in shares}
@@ -141,7 +152,6 @@ def flagged(df: DataFrame, id_column: str, text_column: str, shares: tuple = SHA
                 at = F.when(F.col("stratum") == t, F.lit(cut[s, t])).otherwise(at)
         return F.when((F.col(s) >= at) & (F.col("words") > 0), F.lit(s))
 
-    measured = repetition(df, id_column, text_column, shares).withColumn("stratum", stratum(F.col("words")))
     return measured.withColumn("rejected_by", F.array_compact(F.array(*[rejects(s) for s in shares]))), cuts
 
 
