@@ -261,7 +261,7 @@ def test_certified_equals_the_bound(k, n):
 
 def test_garbling_round_trip(samples):
     rows = samples.collect()
-    plausible = garbled.Plausible([r.text for r in rows if r.lang == "ru"])
+    plausible = garbled.Plausible([(r.lang, r.text) for r in rows])
     for r in rows:
         assert garbled.repair(r.text, plausible) == (0, r.text)
         wide = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251") if r.lang != "ru" else ("cp1252", "latin-1", "cp1251")
@@ -274,10 +274,34 @@ def test_garbling_round_trip(samples):
                 n, fixed = garbled.repair(r.text.encode(true).decode(taken), plausible)
                 letters = [a == b for a, b in zip(fixed, r.text) if "а" <= b.lower() <= "я"]
                 assert sum(letters) > 0.97 * len(letters) and n > 50
+    for taken in garbled.WESTERN["cp1252"]:
+        letters = []
+        for r in rows:
+            if r.lang != "ru":
+                true = r.text.encode("cp1252", "ignore")
+                seen = garbled.decoded(true, taken)
+                letters += [a == b for a, b, c in zip(garbled.repair(seen, plausible)[1], true.decode("cp1252"), seen) if not b.isascii() and b.isalpha() and b != c]
+        assert sum(letters) >= 0.95 * len(letters), taken
     lost = "a�b�c�"
     assert garbled.repair(lost, plausible) == (3, lost)
 
 
+def test_text_in_other_languages_stays(samples):
+    plausible = garbled.Plausible([(r.lang, r.text) for r in samples.collect()])
+    for x in (
+        "Łukasz Dvořák of Łódź met Jiří Čapek and Ştefan", "Wałęsa spoke in Gdańsk about inflation",
+        "Příliš žluťoučký kůň úpěl ďábelské ódy. Česká národní banka ponechala úrokové sazby beze změny.",
+        "Zażółć gęślą jaźń. Narodowy Bank Polski utrzymał stopy procentowe, a członkowie Rady będą się spotykać.",
+        "Türkiye Cumhuriyet Merkez Bankası, enflasyon görünümünü değerlendirdi; İstanbul'da çalıştı, şu ağır kış.",
+        "Banca Naţională a României a menţinut rata dobânzii şi a spus că ţintele sunt îndeplinite. CĂŞTIGUL ŢĂRII",
+        "Magyar Nemzeti Bank elnöke: a jegybanki alapkamat változatlan, őszinte hűség és törődés.",
+    ):
+        assert garbled.repair(x, plausible) == (0, x)
+    mixed = "Président Dvořák : aprčs la réunion, le progrčs est dčs lors décidé ŕ Łódź et trčs net."
+    assert garbled.repair(mixed, plausible) == (5, "Président Dvořák : après la réunion, le progrès est dès lors décidé à Łódź et très net.")
+    assert garbled.repair("Wrocław i ŁódÅº, Å‚adnie", plausible)[1] == "Wrocław i Łódź, ładnie"
+
+
 def test_classes_hold_one_plain_character():
     for group in lookalike.classes().members().values():
         assert len({m for m in group if len(m) == 1 and m.isascii()}) <= 1, group

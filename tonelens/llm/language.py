@@ -174,7 +174,7 @@ def _passages(batches, samples):
 
 
 def _shares(batches, samples):
-    coder, plausible = Coder(samples), garble.Plausible([t for lang, t in samples if lang == "ru"])
+    coder, plausible = Coder(samples), garble.Plausible(samples)
     langs, k = np.array(coder.langs), len(coder.langs)
     for batch in batches:
         ids, texts = batch.column("id"), batch.column("text").to_pylist()
