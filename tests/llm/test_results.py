@@ -302,28 +302,53 @@ def test_text_in_other_languages_stays(samples):
     assert garbled.repair("Wrocław i ŁódÅº, Å‚adnie", plausible)[1] == "Wrocław i Łódź, ładnie"
 
 
-def test_classes_hold_one_plain_character():
-    for group in lookalike.classes().members().values():
-        assert len({m for m in group if len(m) == 1 and m.isascii()}) <= 1, group
+@pytest.fixture(scope="module")
+def alike(spark):
+    public = lookalike.public_alike(spark)
+    assert len(public) > 300 and {"ꓐB", "ᏢP"} <= set(public)
+    return (*lookalike.ALIKE, *(p for p in public if p[0] not in {x[0] for x in lookalike.ALIKE}))
 
 
-def test_lookalikes():
+def writer_of(alike):
     counts = np.zeros(LAST, np.int64)
     for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789éабвгдежзийклмнопрстуфхцчшщъыьэюя":
         counts[ord(c)] = 100
-    writer = lookalike.Rewriter(counts)
+    return lookalike.Rewriter(*lookalike.representatives(counts, alike), lookalike.unusual_letters(alike))
+
+
+def test_classes_hold_one_plain_character(alike):
+    for group in lookalike.classes(alike).members().values():
+        assert len({m for m in group if len(m) == 1 and m.isascii()}) <= 1, group
+
+
+def test_lookalikes(alike):
+    writer = writer_of(alike)
     cases = {
-        "ｆｕｌｌ １２": "full 12", "café": "café", "zero​width­soft﻿": "zerowidthsoft", "a b　c": "a b c", "ﬁne 𝐛𝐨𝐥𝐝": "fine bold",
-        "pаyment ѕystem rıѕk": "payment system risk", "внyтpеннюю": "внутреннюю", "exchɑnɡe": "exchange", "й": "й",
+        "ｆｕｌｌ １２": "full 12", "cafe\u0301": "café", "zero\u200bwidth\u00adsoft\ufeff": "zerowidthsoft", "a\u00a0b\u3000c": "a b c", "ﬁne 𝐛𝐨𝐥𝐝": "fine bold",
+        "pаyment ѕystem rıѕk": "payment system risk", "внyтpеннюю": "внутреннюю", "exchɑnɡe": "exchange", "и\u0306": "й",
+        "cafe\u200b\u0301": "café", "caf\uff45\u0301": "café", "ê\u0301": "ế", "ꓐank ꮯredit ᏢRICE": "Bank credit PRICE",
     }
     for x, want in cases.items():
         got, n = writer.rewrite(x)
         assert got == want and n > 0 and writer.suspects([x]).tolist() == [0]
     assert writer.rewrite("слово，") == ("слово,", 0)
-    for x in ("plain text", "café – “quoted” © €5\n\f", "слово word", "Москва", "naïve façade"):
+    for x in ("plain text", "café – “quoted” © €5\n\f", "слово word", "Москва", "naïve façade", "ꓐꓮꓠꓗ", "Łódź Dvořák"):
         assert writer.rewrite(x) == (x, 0) and not len(writer.suspects([x]))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aeoıcpyxABEKn 1аеорсухАВКгджαορΑｅａ\u0301\u0308\u0323\u200b\u00ad\ufb01êếꓐᏢɑɡ\u00a0\n-", max_size=24))
+def test_one_form_stays(alike, text):
+    global _WRITER
+    try:
+        writer = _WRITER
+    except NameError:
+        writer = _WRITER = writer_of(alike)
+    once, _ = writer.rewrite(text)
+    assert writer.rewrite(once) == (once, 0)
+    assert len(writer.suspects([text])) or once == text
+
+
 def test_language_held_out(samples):
     rows = sorted(samples.collect(), key=lambda r: r.sample_id)
     coder = language.Coder([(r.lang, r.text) for r in rows if r.sample_id % 5])
