@@ -192,27 +192,69 @@ def test_p9_found(spark, sf, documents):
     assert set(map(tuple, QUERIES["p9_found"](spark, sf).collect())) == want and want
 
 
-def test_item_blocks_and_radius(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "BLOCK_BYTES", 400)
+def test_one_run_in_many_items(spark):
     base = " ".join(f"tok{i}" for i in range(40))
     items = spark.createDataFrame([(i, f"{base} own{i} " + " ".join(f"z{i}q{j}" for j in range(20))) for i in range(5)], "k long, t string")
     docs = spark.createDataFrame([(1, "before " + base + " after"), (2, "nothing in common here at all")], "d long, x string")
     assert set(map(tuple, leaks.leaked(docs, "d", "x", items, "k", "t").collect())) == {(i, 1) for i in range(5)}
-    whole = spark.createDataFrame([(1, f"{base} own1 " + " ".join(f"z1q{j}" for j in range(20)))], "d long, x string")
+    whole = spark.createDataFrame([(1, f"before {base} own1 " + " ".join(f"z1q{j}" for j in range(20)) + " after")], "d long, x string")
     near = leaks.similar(whole, "d", "x", items, "k", "t").collect()
-    assert [(r.item, r.similarity) for r in near if r.similarity > 0.99] == [(1, 1.0)]
-
-
-def test_index_finds_all_within_radius():
-    rng = np.random.default_rng(0)
-    prints = rng.integers(0, 2**63, 300).astype(np.uint64)
-    asked = prints[rng.integers(0, 300, 500)].copy()
-    for i in range(len(asked)):
-        for bit in rng.choice(64, i % 4, False):
-            asked[i] ^= np.uint64(1) << np.uint64(bit)
-    who, what = leaks.Index(prints, 2).near(asked)
-    want = {(i, j) for i in range(500) for j in range(300) if int(asked[i] ^ prints[j]).bit_count() <= 2}
-    assert set(zip(who.tolist(), what.tolist())) == want
+    assert [(r.item, r.doc, r.similarity) for r in near] == [(1, 1, 1.0)]
+
+
+def test_bloom_has_no_false_negatives(spark):
+    keys = [random.Random(5).getrandbits(63) for _ in range(5000)]
+    held = leaks.bloom_of(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert held.holds(np.array(keys, np.uint64)).all()
+    assert held.holds(np.array([random.Random(6).getrandbits(64) for _ in range(5000)], np.uint64)).mean() < 0.05
+
+
+@pytest.mark.parametrize("radius", [0, 3, 10])
+def test_blocks_find_all_within_radius(spark, radius):
+    """Fingerprints within the radius agree in a block; blocks have all bits once."""
+    rng = random.Random(radius)
+    rows = []
+    for i in range(200):
+        x = rng.getrandbits(128)
+        y = x
+        for bit in rng.sample(range(128), rng.randint(0, radius)):
+            y ^= 1 << bit
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        rows.append((i, *[signed(v & (2**64 - 1)) for v in (x, x >> 64, y, y >> 64)]))
+    df = spark.createDataFrame(rows, "i long, a long, b long, c long, d long")
+    got = df.select("i", leaks.blocks(F.col("a"), F.col("b"), radius).alias("x"), leaks.blocks(F.col("c"), F.col("d"), radius).alias("y"))
+    assert got.where(F.size(F.array_intersect("x", "y")) > 0).count() == 200
+    assert all(len(r.x) == (radius + 1 if radius else 1) for r in got.collect())
+
+
+def test_similar_recall(spark, documents):
+    """Items with words changed, put in, left out and cut off at the ends, against brute force over all windows."""
+    rng = random.Random(4)
+    items = [(i, [f"v{rng.randrange(400)}" for _ in range(rng.choice([12, 30, 60, 110]))]) for i in range(40)]
+    hosts = [words_of(r.text) for r in documents.collect()]
+    docs = []
+    for i, w in items:
+        for _ in range(5):
+            w2, host = list(w), rng.choice(hosts)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                at = rng.randrange(len(w2))
+                w2[at : at + 1] = rng.choice([[], ["other"], [w2[at], "more"]])
+            w2, at = w2[rng.choice([0, 0, 2]) :], rng.randrange(len(host) + 1)
+            docs.append((len(docs), i, host[:at] + w2 + host[at:]))
+    spread = collections.Counter(g for _, w in items for g in set(grams(w, 5)))
+    want = set()
+    for d, i, x in docs:
+        w = items[i][1]
+        own, m = set(grams(w, 5)), len(w) - 4
+        total = sum(1 / spread[g] for g in own)
+        g = grams(x, 5)
+        for at in range(max(0, len(g) - m + 1)):
+            there = set(g[at : at + m])
+            if sum(1 / spread[x] for x in there & own) >= 0.8 * (total + sum(1 / spread[x] if x in spread else 1 for x in there - own)) - 1e-9:
+                want.add((i, d))
+    got = leaks.similar(spark.createDataFrame([(d, " ".join(x)) for d, _, x in docs], "d long, x string"), "d", "x", spark.createDataFrame([(i, " ".join(w)) for i, w in items], "k long, t string"), "k", "t")
+    got = {(r.item, r.doc) for r in got.collect()}
+    assert len(want) > 100 and len(want & got) >= 0.95 * len(want)
 
 
 def test_p10_found(spark, sf, documents):
