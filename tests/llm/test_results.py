@@ -277,9 +277,35 @@ def test_binomial_bound_and_cutoffs():
         assert sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(0.05, abs=1e-6)
     assert repetition.upper_bound(5, 5, 0.05) == repetition.upper_bound(0, 0, 0.05) == 1.0
     grid = len(repetition.GRID)
-    counts = {("run_share", 0): (5000, [0] * grid), ("line_share", 0): (5000, [0] * 3 + [4000] * (grid - 3)), ("line_share", 1): (5, [0] * grid)}
-    cut = repetition.cutoffs(counts, {"run_share": 0.3}, 0.02, 0.05)
-    assert cut["run_share", 0] == 0.3 and cut["line_share", 0] == repetition.GRID[2] and cut["line_share", 1] is None
+    counts = {("phrase_share", 0): (5000, [0] * grid), ("line_share", 0): (5000, [0] * 3 + [4000] * (grid - 3)), ("line_share", 1): (5, [0] * grid)}
+    cut = repetition.cutoffs(counts, 0.02, 0.05)
+    assert cut["phrase_share", 0] == repetition.GRID[-1] and cut["line_share", 0] == repetition.GRID[2] and cut["line_share", 1] is None
+
+
+def test_cutoffs_hold_on_documents_not_seen(spark):
+    """Cutoffs of one half of the documents reject at most about alpha of the good ones of the other half; phrases that
+    good documents repeat move the phrase cutoff up, and no case is lost."""
+    rng = random.Random(3)
+
+    def text(i):
+        w = [f"w{i}x{j}" for j in range(120)]
+        phrase = [f"p{i}x{j}" for j in range(6)]  # repeated phrases too short to be runs of eight
+        for _ in range(rng.choice([0, 0, 0, 1, 3])):
+            at = rng.randrange(len(w))
+            w[at:at] = phrase
+        return " ".join(w * 2 if i % 40 == 0 else w)
+
+    rows = [(i, text(i)) for i in range(3000)]
+    halves = [spark.createDataFrame(rows[h::2], "k long, t string") for h in (0, 1)]
+    cut = {(r.share, r.stratum): r for r in repetition.flagged(halves[0], "k", "t")[1].collect()}
+    docs = repetition.flagged(halves[1], "k", "t")[0].collect()
+    good = [d for d in docs if d.run_share < 0.3]
+    for s in repetition.SHARES:
+        c = cut[s, 1]
+        assert c.certified and sum(d[s] >= c.cutoff for d in good if d.stratum == 1) <= 0.03 * len(good)
+    assert 0.05 < cut["phrase_share", 1].cutoff <= 0.3
+    docs = repetition.flagged(halves[0], "k", "t")[0].collect()
+    assert {d.id for d in docs if d.run_share >= 0.3} == {d.id for d in docs if d.rejected_by and d.run_share >= 0.3} == {i for i in range(0, 3000, 40)}
 
 
 def test_cutoffs_rest_on_all_documents(spark):
@@ -288,8 +314,7 @@ def test_cutoffs_rest_on_all_documents(spark):
     again = "Own line\n" * 30 + " ".join(f"y{j}" for j in range(70))
     df = spark.createDataFrame([*enumerate(texts), (600, again)], "k long, t string")
     docs, cuts = repetition.flagged(df, "k", "t")
-    assert {(r.share, r.cutoff is None) for r in cuts.where("stratum = 1").collect()} == {(s, False) for s in repetition.SHARES}
-    assert {r.good for r in cuts.where("stratum = 1 AND share = 'line_share'").collect()} <= {600, 601}
+    assert {(r.share, r.certified) for r in cuts.where("stratum = 1").collect()} == {(s, True) for s in repetition.SHARES}
     assert [r.id for r in docs.where("array_contains(rejected_by, 'line_share')").collect()] == [600]
 
 
