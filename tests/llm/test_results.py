@@ -179,6 +179,14 @@ def test_lines_removed(spark):
     assert {(len(b.block), b.docs) for b in blocks} == {(2, 8), (1, 8)}
 
 
+def test_blocks_of_several_lines(spark):
+    """A notice of two lines in 7 of 100 documents goes where it stands whole; its lines stay where they stand alone."""
+    rows = [(i, "S", f"Own text {chr(97 + i % 26)}{'z' * (i // 26)}.\n" + ("All rights reserved\n\nWrite to us" if i < 7 else "Write to us" if i < 9 else "Nothing")) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, s string, t string")
+    of = lambda **more: {(r.id, r.line_no) for r in boilerplate.lines_to_remove(df, "k", "t", "s", share=0.95, **more).collect()}
+    assert of() == set() and of(block_share=0.05) == {(i, n) for i in range(7) for n in (2, 4)}
+
+
 # Leaks and repetition
 
 

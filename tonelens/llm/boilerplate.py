@@ -39,27 +39,38 @@ def _line_ids():
     return F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(normal_line(x)))
 
 
-def frequent_lines(df: DataFrame, id_column: str, text_column: str, source_column: str, least: int, share: float) -> DataFrame:
-    """``source, line, docs, least`` of the lines that stand in enough documents of their source."""
-    rows = _rows(df, id_column, text_column, source_column)
-    sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("all_docs"))
-    lines = rows.select("source", F.explode(F.array_distinct(_line_ids())).alias("line")).where(F.col("line") != F.xxhash64(F.lit("")))
-    counted = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
-    enough = F.greatest(F.lit(least), F.ceil(F.col("all_docs") * F.lit(share) - F.lit(1e-9)))
-    return counted.join(sources, "source").select("source", "line", "docs", enough.alias("least")).where("docs >= least")
+def line_table(df: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """``id, source, lines`` of rows with a source and text: their line identifiers, made once and written."""
+    return written(_rows(df, id_column, text_column, source_column).select("id", "source", _line_ids().alias("lines")), "lines")
 
 
-def occurrences(df: DataFrame, frequent: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+def _enough(least: int, share: float):
+    return F.greatest(F.lit(least), F.ceil(F.col("all_docs") * F.lit(share) - F.lit(1e-9)))
+
+
+def frequent_lines(lines: DataFrame, least: int, share: float, block_share: float | None = None) -> DataFrame:
+    """``source, line, docs, least, least_block`` of the lines that stand in enough documents of their source to be
+    part of a block; ``least`` is for blocks of one line, ``least_block`` for longer ones."""
+    sources = lines.groupBy("source").agg(F.count(F.lit(1)).alias("all_docs"))
+    each = lines.select("source", F.explode(F.array_distinct("lines")).alias("line")).where(F.col("line") != F.xxhash64(F.lit("")))
+    counted = each.groupBy("source", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
+    block = share if block_share is None else min(share, block_share)
+    enough = counted.join(sources, "source").select("source", "line", "docs", _enough(least, share).alias("least"), _enough(least, block).alias("least_block"))
+    return enough.where("docs >= least_block")
+
+
+def occurrences(lines: DataFrame, frequent: DataFrame) -> DataFrame:
     """``id, source, line_no, nth, line``: frequent lines where they stand; nth counts non-blank lines."""
-    numbered = F.transform(_line_ids(), lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line")))
-    rows = _rows(df, id_column, text_column, source_column).select("id", "source", F.posexplode(F.filter(numbered, lambda x: x["line"] != F.xxhash64(F.lit("")))).alias("nth", "at"))
-    return rows.select("id", "source", "at.line_no", "nth", "at.line").join(frequent.select("source", "line", "least"), ["source", "line"])
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line")))
+    rows = lines.select("id", "source", F.posexplode(F.filter(numbered, lambda x: x["line"] != F.xxhash64(F.lit("")))).alias("nth", "at"))
+    return rows.select("id", "source", "at.line_no", "nth", "at.line").join(frequent.select("source", "line", "least", "least_block"), ["source", "line"])
 
 
-def blocks_of_shard(runs: list, owner: np.ndarray, docs: np.ndarray, least: int) -> dict:
+def blocks_of_shard(runs: list, owner: np.ndarray, docs: np.ndarray, least: int, least_block: int | None = None) -> dict:
     """{block: documents} of suffixes with one first line: the common prefixes of neighbours in sorted
-    order that stand in ``least`` documents or more and don't extend to one that stands in as many.
-    Suffixes of one owner (documents with equal runs) count once."""
+    order that stand in ``least`` documents or more (of two lines or more: ``least_block``) and don't extend to one that
+    stands in as many. Suffixes of one owner (documents with equal runs) count once."""
+    least_block = least if least_block is None else least_block
     order = sorted(range(len(runs)), key=runs.__getitem__)
     common = [0] * len(order)
     for i in range(1, len(order)):
@@ -82,11 +93,12 @@ def blocks_of_shard(runs: list, owner: np.ndarray, docs: np.ndarray, least: int)
                     j += 1
                 who = {int(owner[order[x]]): int(docs[order[x]]) for x in range(i, j)}
                 total = sum(who.values())
-                if total >= least:
+                if total >= min(least, least_block):
                     block = tuple(runs[order[i]][:length])
-                    if len(block) > 1 and out.get(block[:-1]) == total:
-                        del out[block[:-1]]
-                    out[block] = total
+                    if total >= (least if length == 1 else least_block):
+                        if length > 1 and out.get(block[:-1]) == total:
+                            del out[block[:-1]]
+                        out[block] = total
                     longer.append((i, j))
                 i = j
         live, length = longer, length + 1
@@ -94,7 +106,7 @@ def blocks_of_shard(runs: list, owner: np.ndarray, docs: np.ndarray, least: int)
 
 
 def _shard(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    found = blocks_of_shard(rows.column("run").to_pylist(), rows.column("owner").to_numpy(), rows.column("docs").to_numpy(), int(rows.column("least")[0].as_py()))
+    found = blocks_of_shard(rows.column("run").to_pylist(), rows.column("owner").to_numpy(), rows.column("docs").to_numpy(), int(rows.column("least")[0].as_py()), int(rows.column("least_block")[0].as_py()))
     n = len(found)
     return pa.table({
         "source": pa.array([key[0].as_py()] * n, pa.string()), "line": pa.array([key[1].as_py()] * n, pa.int64()),
@@ -102,35 +114,50 @@ def _shard(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     })
 
 
-def line_blocks(df: DataFrame, id_column: str, text_column: str, source_column: str, least: int = LEAST_DOCS, share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(occurrences of frequent lines, blocks ``source, line, block, docs``).
+def line_blocks(df: DataFrame, id_column: str, text_column: str, source_column: str, least: int = LEAST_DOCS, share: float = LEAST_SHARE, block_share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(occurrences of lines that can be part of a block, blocks ``source, line, block, docs``).
 
     A block is a list of line identifiers that stands, line after line with blank lines apart, in at
-    least ``least`` documents and ``share`` of its source's documents with text; line is its first.
-    Rows with a null id, text or source and blank texts give nothing; rows with one id are one document.
+    least ``least`` documents and ``share`` of its source's documents with text (of two lines or more:
+    ``block_share``, if given); line is its first. Rows with a null id, text or source and blank texts give nothing;
+    rows with one id are one document.
     """
-    frequent = frequent_lines(df, id_column, text_column, source_column, least, share)
-    held = written(occurrences(df, written(frequent, "frequent"), id_column, text_column, source_column), "held")
-    island = F.col("nth") - F.row_number().over(Window.partitionBy("source", "id").orderBy("nth"))
-    runs = held.withColumn("island", island).groupBy("source", "id", "island").agg(F.array_sort(F.collect_list(F.struct("nth", "line"))).alias("run"), F.first("least").alias("least"))
-    runs = runs.select("source", "id", "least", F.transform("run", lambda x: x["line"]).alias("run"))
-    docs = runs.groupBy("source", "id").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.first("least").alias("least"))
-    docs = docs.groupBy("source", "runs").agg(F.count(F.lit(1)).alias("docs"), F.first("least").alias("least")).withColumn("owner", F.xxhash64("source", "runs"))
-    each = docs.select("source", "owner", "docs", "least", F.explode("runs").alias("whole"))
-    suffixes = each.select("source", "owner", "docs", "least", F.explode(F.transform("whole", lambda x, i: F.slice("whole", i + 1, F.size("whole")))).alias("run")).withColumn("line", F.col("run")[0])
+    lines = line_table(df, id_column, text_column, source_column)
+    frequent = written(frequent_lines(lines, least, share, block_share), "frequent")
+    held = written(occurrences(lines, frequent), "held")
+    runs = _runs(held).select("source", "id", "least", "least_block", F.transform("run", lambda x: x["line"]).alias("run"))
+    docs = runs.groupBy("source", "id").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.first("least").alias("least"), F.first("least_block").alias("least_block"))
+    docs = docs.groupBy("source", "runs").agg(F.count(F.lit(1)).alias("docs"), F.first("least").alias("least"), F.first("least_block").alias("least_block")).withColumn("owner", F.xxhash64("source", "runs"))
+    each = docs.select("source", "owner", "docs", "least", "least_block", F.explode("runs").alias("whole"))
+    suffixes = each.select("source", "owner", "docs", "least", "least_block", F.explode(F.transform("whole", lambda x, i: F.slice("whole", i + 1, F.size("whole")))).alias("run")).withColumn("line", F.col("run")[0])
     return held, suffixes.groupBy("source", "line").applyInArrow(_shard, BLOCKS)
 
 
-def lines_to_remove(df: DataFrame, id_column: str, text_column: str, source_column: str, least: int = LEAST_DOCS, share: float = LEAST_SHARE) -> DataFrame:
-    """``id, source, line_no, line`` of every line covered by a block; each line of a block begins a suffix
-    of it, which is a block as well, so the first lines of blocks are all of their lines."""
-    held, blocks = line_blocks(df, id_column, text_column, source_column, least, share)
-    return held.join(blocks.select("source", "line").distinct(), ["source", "line"], "left_semi").select("id", "source", "line_no", "line")
+def _runs(held: DataFrame) -> DataFrame:
+    """``source, id, run``: neighbouring lines of ``held``, in order, with their numbers."""
+    island = F.col("nth") - F.row_number().over(Window.partitionBy("source", "id").orderBy("nth"))
+    return held.withColumn("island", island).groupBy("source", "id", "island").agg(F.array_sort(F.collect_list(F.struct("nth", "line", "line_no"))).alias("run"), F.first("least").alias("least"), F.first("least_block").alias("least_block"))
+
 
+def lines_to_remove(df: DataFrame, id_column: str, text_column: str, source_column: str, least: int = LEAST_DOCS, share: float = LEAST_SHARE, block_share: float | None = None) -> DataFrame:
+    """``id, source, line_no, line`` of every line covered by a block, each once.
 
-def without_lines(df: DataFrame, id_column: str, text_column: str, source_column: str, least: int = LEAST_DOCS, share: float = LEAST_SHARE) -> DataFrame:
+    Without ``block_share`` each line of a block begins a suffix of it, which is a block as well, so the first lines of
+    blocks are all of their lines. With it a line goes where it stands in a block of several lines, though alone it
+    stays.
+    """
+    held, blocks = line_blocks(df, id_column, text_column, source_column, least, share, block_share)
+    if block_share is None or block_share >= share:
+        return held.join(blocks.select("source", "line").distinct(), ["source", "line"], "left_semi").select("id", "source", "line_no", "line")
+    whole = _runs(held).select("source", "id", "run", F.transform("run", lambda x: x["line"]).alias("ids"))
+    begun = whole.select("source", "id", "run", "ids", F.posexplode("ids").alias("at", "line")).join(blocks.select("source", "line", "block"), ["source", "line"])
+    match = begun.where(F.slice("ids", F.col("at") + 1, F.size("block")) == F.col("block"))
+    return match.select("id", "source", F.explode(F.slice("run", F.col("at") + 1, F.size("block"))).alias("x")).select("id", "source", "x.line_no", "x.line").distinct()
+
+
+def without_lines(df: DataFrame, id_column: str, text_column: str, source_column: str, least: int = LEAST_DOCS, share: float = LEAST_SHARE, block_share: float | None = None) -> DataFrame:
     """``id, kept, removed``: every row's text without the blocks' lines; a null text stays null."""
-    gone = lines_to_remove(df, id_column, text_column, source_column, least, share).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
+    gone = lines_to_remove(df, id_column, text_column, source_column, least, share, block_share).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(gone, "id", "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<bigint>")), (i + 1).cast("long"))), "\n")
     return rows.select("id", kept.alias("kept"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
@@ -148,3 +175,9 @@ def p7_blocks(spark, sf_dir: str) -> DataFrame:
 
 def p7_clean(spark, sf_dir: str) -> DataFrame:
     return without_lines(table(spark, sf_dir, "speeches"), "speech_id", "text", "CentralBank").withColumnRenamed("id", "speech_id")
+
+
+def p7_block_lines(spark, sf_dir: str) -> DataFrame:
+    """Lines of blocks of one line, and of blocks of two or more that stand in LEAST_DOCS documents, whatever their share."""
+    lines = lines_to_remove(table(spark, sf_dir, "speeches"), "speech_id", "text", "CentralBank", block_share=0.0)
+    return lines.select(F.col("id").alias("speech_id"), "line_no")

@@ -20,6 +20,7 @@ QUERIES = {
     "p6_restored": garbled.p6_restored,
     "p7_found": boilerplate.p7_found,
     "p7_blocks": boilerplate.p7_blocks,
+    "p7_block_lines": boilerplate.p7_block_lines,
     "p7_clean": boilerplate.p7_clean,
     "p8_containers": packing.p8_containers,
     "p8_usage": packing.p8_usage,
