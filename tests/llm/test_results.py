@@ -463,6 +463,29 @@ def test_scanned_pages(spark):
     assert rows[0].repaired == "The exchange market supported the output while the demand weakened.\n\nThe inflation weakened the harvest."
 
 
+def test_vectors_decide(spark):
+    """A rare word one glyph from a frequent one is a misreading where the frequent word is at home, and not where other
+    words stand around; without vectors the glyphs alone would take both."""
+    rng = random.Random(2)
+    sea, bank = "ships sail over calm waters near the harbour wall".split(), "rates rise when credit grows and lenders expand".split()
+    lines = lambda topic, word: " ".join(" ".join([*rng.sample(topic, 4), word, *rng.sample(topic, 4)]) for _ in range(12))
+    rows = [(i, lines(sea, "tide") if i % 2 else lines(bank, "loan")) for i in range(400)]
+    # "tidc" among ships is a misread "tide"; "tidc" among lenders is none
+    right, wrong = " ".join(rng.sample(sea, 4) + ["tidc"] + rng.sample(sea, 4)), " ".join(rng.sample(bank, 4) + ["tidc"] + rng.sample(bank, 4))
+    df = spark.createDataFrame(rows, "k long, t string")
+    words, counts, total, rare = scanned.frequent_words(df, "t")
+    vectors = scanned.skip_gram(df, "t", words, counts, total)
+    of = lambda v, t: int(scanned.Reader(scanned.Lexicon(words, counts, v, rare)).measure([t])[1][0])
+    assert (of(vectors, right), of(vectors, wrong)) == (1, 0) and (of({}, right), of({}, wrong)) == (1, 1)
+
+
+def test_words_too_frequent_to_be_misread(spark):
+    rows = [(i, "the rate of the market and the rafe of the harbour") for i in range(300)] + [(1000 + i, "the market") for i in range(3000)] + [(9999, "the markef fell")]
+    words, counts, total, rare = scanned.frequent_words(spark.createDataFrame(rows, "k long, t string"), "t")
+    lexicon = scanned.Lexicon(words, counts, {}, rare)
+    assert lexicon.link("rafe") == [] and lexicon.link("markef") == ["market"]
+
+
 def test_furniture():
     lines = ["Bank of X   12", "text goes on", "Page 3 of 9", "[4]", "xii", "29.", "In 2013", "A head", "which breaks", "A head", "the sentence"]
     assert scanned.furniture_lines(lines) == {0, 2, 3, 4, 7, 9}

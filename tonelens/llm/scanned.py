@@ -2,16 +2,19 @@
 
 Words are counted over the whole corpus and skip-gram vectors (negative sampling) are learned from
 it. A word that is rare next to a frequent word from which misreadings of glyphs lead to it is linked
-to that word, and replaced where the words around it fit the frequent word at least as well. Words
-parted at line ends are joined, running heads and page numbers removed, and the lines
-of a page reflowed into paragraphs.
-
-Only frequent words are sent to the tasks: those with at least ``max(LEAST_COUNT, SHARE of all words)``
-occurrences, so at most 1 / SHARE of them, whatever the corpus.
+to that word. Whether it is taken for a misreading where it stands is decided by the vectors: the frequent word must
+fit the words around it, and the shorter the word the better, as short words are one edit from many. Of several
+frequent words the one that fits best is meant. Words parted at line ends are joined, running heads and page
+numbers removed, and the lines of a page reflowed into paragraphs.
+
+Only frequent words are sent to the tasks, those with at least ``max(LEAST_COUNT, SHARE of all words)``
+occurrences, so at most 1 / SHARE of them, whatever the corpus; and of rarer words those that are too frequent, next to a
+word they could be a misreading of, to be one: one for each glyph edit of a frequent word at most.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -25,7 +28,12 @@ from .textkit import U64, Codes, Words, mix, slices
 LEAST_COUNT = 5
 SHARE = 2e-6
 #: A linked word is this much rarer than the word it stands for.
-RATIO = 0.01
+RATIO = 0.1
+#: Fit to the words around, in standard deviations over chance, that a word of NEUTRAL letters needs; each letter more
+#: lowers it by SLOPE.
+NEUTRAL, SLOPE = 3, 0.75
+#: In a text that shows another trace a misreading is likelier, and the fit may be so much less.
+PRIOR = 2.0
 NEIGHBOUR_COUNT = 20
 DIM, NEGATIVES, BATCH, RATE, SUBSAMPLE = 24, 16, 4096, 0.3, 1e-5
 #: Vectors are learned for words of this share of all words or more, at most 1 / VECTOR_SHARE.
@@ -59,34 +67,48 @@ def glyph_edits(word: str) -> set[str]:
 class Lexicon:
     """Frequent words, and the links from words to those they may be misreadings of."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, vectors: dict | None = None):
+    def __init__(self, words: list[str], counts: np.ndarray, vectors: dict | None = None, rare: dict | None = None):
         self.count = dict(zip(words, counts.tolist()))
+        self.rare = rare or {}
         self.vectors = vectors or {}
-        self.links: dict[int, list[str]] = {}
-        self.hash_known: dict[str, list[str]] = {}
+        self.linked: dict[str, list[str]] = {}
+        if self.vectors:
+            # context vectors as they come by chance, for the fit
+            share = np.array([self.count[w] for w in self.vectors], float)
+            share /= share.sum()
+            context = np.array([v[DIM:] for v in self.vectors.values()], float)
+            self.mean = share @ context
+            self.spread = ((context - self.mean) * share[:, None]).T @ (context - self.mean)
 
     def link(self, word: str) -> list[str]:
         """Frequent words that one misreading, or in longer words two, turn into ``word``; most frequent first."""
-        if word in self.hash_known:
-            return self.hash_known[word]
+        if word in self.linked:
+            return self.linked[word]
         out: list[str] = []
-        own = self.count.get(word, 0)
+        own = self.count.get(word) or self.rare.get(word, 0)
         if len(word) >= 2 and not word.isdigit():
             ones = glyph_edits(word)
             fits = lambda w: self.count.get(w, 0) >= max(NEIGHBOUR_COUNT, own / RATIO)
             out = [w for w in ones if fits(w)]
-            if not out and len(word) >= 6 and not own:
+            known = word in self.count
+            if not out and len(word) >= 6 and not known:
                 out = [w for x in ones for w in glyph_edits(x) if fits(w)]
-            if not out and not own and any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
+            if not out and not known and any(c.isdigit() for c in word) and any(c.isalpha() for c in word):
                 # a digit inside a word that is itself rare, as a name: the misreading is plain, the word isn't known
                 plain = [x for x in ones if not any(c.isdigit() for c in x)]
                 out = plain[:1] if word[0].isalpha() and word[-1].isalpha() else []
         out = sorted(set(out), key=lambda w: (-self.count.get(w, 0), w))
-        self.hash_known[word] = out
+        self.linked[word] = out
         return out
 
-    def vector(self, word: str):
-        return self.vectors.get(word)
+    def fit(self, word: str, around: list) -> float | None:
+        """How well a word goes with the context vectors around, in standard deviations over words met by chance; None
+        if either is unknown."""
+        v = self.vectors.get(word)
+        if v is None or not around:
+            return None
+        own = v[:DIM].astype(float)
+        return float((own @ np.mean(around, axis=0) - own @ self.mean) / max(1e-6, math.sqrt(own @ self.spread @ own / len(around))))
 
 
 def _count_words(batches):
@@ -117,12 +139,28 @@ def word_counts(df: DataFrame, text_column: str) -> DataFrame:
     return rows.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(df: DataFrame, text_column: str) -> tuple[list[str], np.ndarray, int]:
-    """(words, counts, all words) of the words frequent enough; at most 1 / SHARE of them by their definition."""
+def _too_frequent(words: list[str], counts: np.ndarray):
+    def check(batches):
+        count = dict(zip(words, counts.tolist()))
+        for batch in batches:
+            keep = [i for i, (w, n) in enumerate(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist())) if len(w) >= 2 and any(RATIO * count.get(x, 0) < n for x in glyph_edits(w) if x in count)]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return check
+
+
+def frequent_words(df: DataFrame, text_column: str) -> tuple[list[str], np.ndarray, int, dict]:
+    """(words, counts, all words, counts of rarer words too frequent to be misreadings of some frequent word).
+
+    The frequent words are at most 1 / SHARE by their definition; the others are glyph edits of them.
+    """
     counts = written(word_counts(df, text_column), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    got = counts.where(F.col("n") >= max(LEAST_COUNT, SHARE * total)).orderBy(F.desc("n"), "word").toPandas()
-    return got["word"].tolist(), got["n"].to_numpy(np.int64), int(total)
+    least = max(LEAST_COUNT, SHARE * total)
+    got = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").toPandas()
+    words, n = got["word"].tolist(), got["n"].to_numpy(np.int64)
+    rare = counts.where((F.col("n") < least) & (F.col("n") > RATIO * least)).mapInArrow(_too_frequent(words, n), "word string, n long").toPandas()
+    return words, n, int(total), dict(zip(rare["word"].tolist(), rare["n"].tolist()))
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -187,7 +225,7 @@ def _trainer(words: list[str], counts: np.ndarray, total: int):
         if len(centres):
             learn(centres, around)
         some = np.flatnonzero(seen)
-        yield pa.record_batch({"word": pa.array(some, pa.int64()), "seen": pa.array(seen[some]), "vector": pa.array([(enter[i] * seen[i]).tolist() + (leave[i] * seen[i]).tolist() for i in some], pa.list_(pa.float64()))})
+        yield pa.record_batch({"word": pa.array(some, pa.int64()), "seen": pa.array(seen[some]), "vector": pa.array([(enter[i] * seen[i]).tolist() + (leave[i] * seen[i]).tolist() for i in some], pa.list_(pa.float32()))})
 
     return train
 
@@ -198,10 +236,8 @@ def skip_gram(df: DataFrame, text_column: str, words: list[str], counts: np.ndar
     some = np.flatnonzero(counts >= VECTOR_SHARE * total)
     if not len(some):
         return {}
-    spark = df.sparkSession
     rows = df.select(F.col(text_column).cast("string").alias("text")).where(F.col("text").isNotNull())
-    rows = rows.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism))
-    parts = rows.mapInArrow(_trainer([words[i] for i in some], counts[some], total), "word long, seen double, vector array<double>")
+    parts = rows.mapInArrow(_trainer([words[i] for i in some], counts[some], total), "word long, seen double, vector array<float>")
     sums = [F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(2 * DIM)]
     got = parts.groupBy("word").agg(F.sum("seen").alias("seen"), *sums).toPandas()
     vectors = got[[f"v{i}" for i in range(2 * DIM)]].to_numpy() / got["seen"].to_numpy()[:, None]
@@ -213,7 +249,6 @@ class Reader:
 
     def __init__(self, lexicon: Lexicon):
         self.lex = lexicon
-        self.known = np.sort(_hash_of(list(lexicon.count))) if lexicon.count else np.zeros(0, U64)
         self.suspect: dict[int, bool] = {}
 
     def suspects(self, words: Words) -> np.ndarray:
@@ -225,23 +260,21 @@ class Reader:
             if known is None:
                 if len(self.suspect) > 1 << 20:
                     self.suspect.clear()
-                    self.lex.hash_known.clear()
+                    self.lex.linked.clear()
                 known = self.suspect[h] = bool(self.lex.link(words.word(f)))
             hit[i] = known
         return np.flatnonzero(hit[back])
 
-    def meant(self, words: Words, i: int) -> str | None:
-        """The word meant at i, if it fits the words around; else None."""
+    def meant(self, words: Words, i: int) -> tuple[str, float]:
+        """(word meant at i, by how much it fits the words around better than it must). Without vectors for them the
+        glyphs decide: the most frequent word, by 0."""
         word = words.word(i)
         options = self.lex.link(word)
         lo, hi = max(int(words.first[words.doc[i]]), i - 3), min(int(words.first[words.doc[i] + 1]), i + 4)
-        around = [v[DIM:] for j in range(lo, hi) if j != i and (v := self.lex.vector(words.word(j))) is not None]
-        if not around:
-            return options[0]
-        context = np.mean(around, axis=0)
-        fit = lambda w: float(v[:DIM] @ context) if (v := self.lex.vector(w)) is not None else 0.0
-        best = max(options, key=lambda w: (round(fit(w), 3), self.lex.count.get(w, 0)))
-        return best if self.lex.vector(word) is None or fit(best) >= fit(word) - 0.5 else None
+        around = [v[DIM:] for j in range(lo, hi) if j != i and (v := self.lex.vectors.get(words.word(j))) is not None]
+        fits = {w: self.lex.fit(w, around) for w in options}
+        best = max(options, key=lambda w: (round(fits[w] or 0.0, 3), self.lex.count.get(w, 0)))
+        return best, 0.0 if fits[best] is None else fits[best] - SLOPE * (NEUTRAL - len(word))
 
     def parted(self, a: str, b: str) -> bool:
         """Whether a hyphen at a line end parts one word, other than in a compound."""
@@ -265,13 +298,22 @@ class Reader:
             halves.update(int(codes.starts[d]) + m.start(i) for m in SPLIT.finditer(texts[d]) for i in (1, 2))
             hyphens[d] = sum(self.parted(m[1], m[2]) for m in SPLIT.finditer(without_furniture(texts[d])))
         fixes: dict[int, list] = {}
+        doubtful = []
         for i in self.suspects(words).tolist():
             if int(words.start[i]) in halves:
                 continue
-            if (to := self.meant(words, i)) is not None:
-                d = int(words.doc[i])
+            d, (to, margin) = int(words.doc[i]), self.meant(words, i)
+            place = (int(words.start[i] - codes.starts[d]), int(words.end[i] - codes.starts[d]), to)
+            if margin >= 0:
+                misread[d] += 1
+                fixes.setdefault(d, []).append(place)
+            elif margin >= -PRIOR:
+                doubtful.append((d, place))
+        traced = (misread > 0) | (hyphens >= LEAST_HYPHENS)
+        for d, place in doubtful:
+            if traced[d]:
                 misread[d] += 1
-                fixes.setdefault(d, []).append((int(words.start[i] - codes.starts[d]), int(words.end[i] - codes.starts[d]), to))
+                fixes.setdefault(d, []).append(place)
         for d in np.flatnonzero((hyphens >= LEAST_HYPHENS) | (misread >= LEAST_WORDS)).tolist():
             for m in SPLIT.finditer(without_furniture(texts[d])):
                 whole = (m[1] + m[2]).lower()
@@ -344,9 +386,9 @@ def reflow(text: str) -> str:
     return "\n\n".join(out)
 
 
-def _mapper(words, counts, vectors, restored: bool):
+def _mapper(words, counts, vectors, rare, restored: bool):
     def run(batches):
-        reader = Reader(Lexicon(words, counts, vectors))
+        reader = Reader(Lexicon(words, counts, vectors, rare))
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             for a, b in slices(texts):
@@ -365,10 +407,10 @@ def scanned(df: DataFrame, id_column: str, text_column: str, restored: bool = Fa
 
     Three scans: word counts, vectors, and the texts themselves. Null texts give nothing.
     """
-    words, counts, total = frequent_words(df, text_column)
+    words, counts, total, rare = frequent_words(df, text_column)
     vectors = skip_gram(df, text_column, words, counts, total)
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInArrow(_mapper(words, counts, vectors, restored), FOUND + ", repaired string" * restored)
+    return rows.mapInArrow(_mapper(words, counts, vectors, rare, restored), FOUND + ", repaired string" * restored)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
