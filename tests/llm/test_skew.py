@@ -2,6 +2,8 @@
 
 import collections
 
+import pytest
+
 from tonelens.llm import boilerplate, neardup, packing
 
 
@@ -13,6 +15,33 @@ def test_a_third_are_copies(spark):
     assert len(got) == 902 and got[0].copies == 300 and got[897].class_id == 0 and got[0].links == 2 and got[1001].group_id == 0 and got[1].links == 0
 
 
+def notices(texts, shared, own):
+    """Texts with a common notice of ``shared`` words and ``own`` words of their own; every tenth is an edit of the one before."""
+    notice, out = [f"n{i}" for i in range(shared)], []
+    for i in range(texts):
+        j = i - 1 if i % 10 == 9 else i
+        body = [f"t{j}x{w}" for w in range(own)]
+        if j != i:
+            body[own // 2] = "edit"
+        out.append(" ".join(body + notice))
+    return out
+
+
+@pytest.mark.parametrize("shared, own", [(100, 200), (120, 130), (6, 40), (5, 24)])
+def test_a_notice_in_every_text(spark, monkeypatch, shared, own):
+    """A notice that is a third or nearly half of each text, or a tenth or more of each short text, makes no candidates of
+    texts that have nothing else in common."""
+    monkeypatch.setattr(neardup, "HOT", 8)
+    made = []
+    real = neardup.prefix_pairs
+    monkeypatch.setattr(neardup, "prefix_pairs", lambda *a: made.append(real(*a)) or made[-1])
+    texts = notices(400, shared, own)
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    _, pairs = neardup.similar_classes(df, "k", "t", 0.5)
+    assert pairs.count() == 40 and all(r.jaccard > 0.6 for r in pairs.collect())
+    assert sum(m.count() for m in made) <= 400
+
+
 def test_a_third_are_one_source(spark):
     rows = [(i, "big" if i % 3 == 0 else f"s{i % 30}", f"Legal notice\nOwn line {chr(97 + i % 26)}{i // 26 * 'z'}\nSee also page {i}") for i in range(600)]
     got = boilerplate.lines_to_remove(spark.createDataFrame(rows, "k long, s string, t string"), "k", "t", "s").collect()

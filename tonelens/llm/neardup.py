@@ -15,17 +15,20 @@ indexed by each of their shingles, which is exact. Every candidate is verified e
 shingle sets.
 
 Texts with the same set are one class; a class is indexed once, so copies make no pairs among
-themselves. Allocation by cost: each text drops at most ``DROPS`` of its signatures in a band, those that
-most classes share, if they are ``HOT``, shared by more than that many. Both texts of a pair drop from the
-front of one order, so at most ``DROPS`` of the signatures they agree in are lost, which S allows for. So the
-pairs made by a few common lines grow with the texts and not with their square. What is left of hot signatures
-meets in blocks of about ``BLOCK``, so no task holds an unbounded group.
+themselves. Allocation by cost: signatures that more than ``HOT`` classes share make no pairs by themselves. A text
+with at most ``DROPS`` of them in a band leaves them out, which S allows for; so every pair with such a text is found by the
+others. Texts with more, as those made of common lines for a good part, are paired among each other by their shingles
+instead: by the prefix principle two sets reach the threshold only if they share one of their rarest shingles, of which each
+lists as many as it may lack, and one more. Common lines come last in that order, so texts that share a notice of less than
+the threshold's part of them never meet by it. What many texts list all the same meets in blocks of about ``BLOCK``, so no
+task holds an unbounded group.
 """
 
 from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from .textkit import U64, Codes, Words, first_of, mix, slices
 
 NEED = 3
 HOT = 64
-#: Hot signatures a text drops in a band at most, and their share of all its signatures, which bounds it for small sets.
+#: Hot signatures a text leaves out in a band at most, and their share of all its signatures, which bounds it for small sets.
 DROPS = 4
 DROP_SHARE = 0.05
 BLOCK = 1024
@@ -45,7 +48,9 @@ BLOCK = 1024
 SENT_ROWS = 1_000_000
 SMALL_BAND = 5
 FLUSH = 1 << 21
+#: Texts whose signatures are merged together, and tasks for them at most; a task takes one range after the other.
 ROWS_A_RANGE = 10_000
+MOST_TASKS = 20_000
 
 SIGNED = "range int, sig binary, doc binary, classes binary"
 MERGED = "kind int, a long, b long, n long"
@@ -270,44 +275,69 @@ def merge(rows: pa.Table) -> pa.Table:
     return pa.table({x: np.concatenate([p[x] for p in parts]) for x in ("kind", "a", "b", "n")})
 
 
-def block_pairs(rows: pa.Table) -> pa.Table:
-    """Pairs of the classes of two blocks of one hot signature, or of one block with itself."""
-    cls, block, other = (rows.column(c).to_numpy() for c in ("cls", "block", "other"))
-    if block.min() == block.max() and other[0] == block[0]:
-        i, j = np.triu_indices(len(cls), 1)
-        a, b = cls[i], cls[j]
-    else:
-        left, right = cls[block < other], cls[block > other]
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-    weight = 1 if rows.column("sig")[0].as_py() & 3 >= 2 else NEED
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.full(len(a), weight, np.int64)})
+def _block_pairs(threshold: float):
+    """Pairs of the classes of two blocks that list one shingle, or of one block with itself, as far as their sizes allow."""
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        cls, size, block, other = (rows.column(c).to_numpy() for c in ("cls", "size", "block", "other"))
+        if block.min() == block.max() and other[0] == block[0]:
+            order = np.argsort(size, kind="stable")
+            left, right, own = cls[order], cls[order], True
+            small, large = size[order], size[order]
+        else:
+            x, y = block < other, block > other
+            x, y = np.flatnonzero(x)[np.argsort(size[x], kind="stable")], np.flatnonzero(y)[np.argsort(size[y], kind="stable")]
+            left, right, own, small, large = cls[x], cls[y], False, size[x], size[y]
+        # of sizes in order, those that can reach the threshold are a stretch
+        lo, hi = np.searchsorted(large, np.ceil(small * threshold - 1e-9)), np.searchsorted(large, np.floor(small / threshold + 1e-9), "right")
+        if own:
+            lo = np.maximum(lo, np.arange(len(left)) + 1)
+        n = np.maximum(hi - lo, 0)
+        a, b = np.repeat(left, n), right[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "n": np.full(len(a), NEED, np.int64)})
 
+    return pairs
 
-def hot_pairs(hot: DataFrame, leads: DataFrame) -> DataFrame:
-    """``a, b, n`` of classes by the hot signatures they share and neither drops.
 
-    hot: ``sig, cls, n``, n the classes that share it; leads: ``cls, sigs``. The classes of a signature are cut
-    into blocks; each pair of blocks is a group of its own.
+def heavy_classes(hot: DataFrame, leads: DataFrame) -> DataFrame:
+    """``cls, id`` of the classes with more hot signatures in a band than a text may leave out.
+
+    hot: ``sig, cls``; leads: ``cls, id, sigs``.
     """
-    order = Window.partitionBy("cls", F.col("sig").bitwiseAND(1)).orderBy(F.desc("n"), "sig")
-    ranked = hot.withColumn("rank", F.row_number().over(order)).join(leads, "cls")
-    rows = ranked.where(F.col("rank") > F.least(F.lit(DROPS), F.floor(F.col("sigs") * DROP_SHARE))).select("sig", "cls")
-    rows = written(rows, "hot")
-    blocks = rows.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("left")).where("left > 1").drop("left")
-    placed = rows.join(blocks, "sig").withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
-    met = placed.select("sig", "cls", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    counts = hot.groupBy("cls", F.col("sig").bitwiseAND(1).alias("band")).agg(F.count(F.lit(1)).alias("hot")).join(leads, "cls")
+    return counts.where(F.col("hot") > F.least(F.lit(DROPS), F.floor(F.col("sigs") * DROP_SHARE))).select("cls", "id").distinct()
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, n`` of the classes of ``sets`` (``cls, shingles``) that share one of their rarest shingles and whose sizes
+    can reach the threshold; exact candidates."""
+    listed = sets.mapInArrow(_lister, "cls long, size long, shingle array<long>").select("cls", "size", F.explode("shingle").alias("shingle"))
+    counts = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    known = listed.join(counts, "shingle")
+    # shingles of one text come first in the order and pair nothing
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("texts", "shingle")) + F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    prefix = written(known.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("shingle", "cls", "size"), "prefix")
+    blocks = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("shingle", F.ceil(F.col("texts") / BLOCK).cast("int").alias("blocks"))
+    placed = prefix.join(blocks, "shingle").withColumn("block", F.pmod(F.hash("cls"), F.col("blocks")))
+    met = placed.select("shingle", "cls", "size", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    return met.groupBy("sig", "low", "high").applyInArrow(block_pairs, "a long, b long, n long")
+    return met.groupBy("shingle", "low", "high").applyInArrow(_block_pairs(threshold), "a long, b long, n long").distinct()
+
 
+def _lister(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        yield pa.record_batch({"cls": batch.column("cls"), "size": pa.array([len(x) for x in sets], pa.int64()), "shingle": pa.array(sets, pa.list_(pa.int64()))})
 
-def _verifier(k: int, threshold: float):
+
+def _verifier(threshold: float):
     def verify(batches):
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             both, size = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
             for i, (x, y) in enumerate(zip(left, right)):
-                x, y = unpack(x), unpack(y)
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 at = np.searchsorted(y, x)
                 both[i] = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
                 size[i] = len(x) + len(y) - both[i]
@@ -323,12 +353,19 @@ def _setter(k: int):
             texts, cls = batch.column("text").to_pylist(), batch.column("cls").to_numpy()
             for s, e in slices(texts):
                 d, h, n = shingle_sets(texts[s:e], k)
-                ends, h = np.concatenate([[0], np.cumsum(n)]), h >> U64(24)  # the high 40 bits keep the order
-                yield pa.record_batch({"cls": pa.array(cls[s:e]), "shingles": pa.array([pack(h[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.binary())})
+                ends = np.concatenate([[0], np.cumsum(n)])
+                yield pa.record_batch({"cls": pa.array(cls[s:e]), "shingles": pa.array([h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())})
 
     return sets
 
 
+def _sets(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``cls, shingles`` of the classes asked for (``cls, id``), from their texts. Few are sent to the texts; of many, the
+    texts are shuffled to them."""
+    few = asked.count() <= SENT_ROWS
+    return base.join(F.broadcast(asked) if few else asked, "id").select("cls", "text").mapInArrow(_setter(k), "cls long, shingles binary").dropDuplicates(["cls"])
+
+
 def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold: float = 0.8, k: int = 5, miss: float = 5e-5) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of near-duplicate texts.
 
@@ -339,23 +376,24 @@ def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold:
     """
     base = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     ranges = int(max(16, base.count() // ROWS_A_RANGE))
-    signed = base.mapInArrow(_signer(k, threshold, miss, ranges), SIGNED)
+    signed = base.mapInArrow(_signer(k, threshold, miss, ranges), SIGNED).repartition(min(2 * ranges, MOST_TASKS), "range")
     merged = written(signed.groupBy("range").applyInArrow(merge, MERGED), "merged")
     members = merged.where("kind = 0").select(F.col("a").alias("cls"), F.col("b").alias("id"), F.col("n"))
     leads = members.groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("sigs"))
     shared = merged.where("kind = 1").select("a", "b", "n")
-    hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"), "n")
+    hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
     if not hot.isEmpty():
-        shared = shared.unionByName(hot_pairs(hot, leads.select("cls", "sigs")))
+        heavy = written(heavy_classes(hot, leads), "heavy")
+        if not heavy.isEmpty():
+            shared = shared.unionByName(prefix_pairs(_sets(base, heavy, k), threshold))
     close = written(shared.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED).select("a", "b"), "close")
     asked = written(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(leads, "cls").select("cls", "id"), "asked")
-    # few candidates are sent to the texts; of many, the texts are shuffled to them
-    sets = base.join(F.broadcast(asked) if asked.count() <= SENT_ROWS else asked, "id").select("cls", "text").mapInArrow(_setter(k), "cls long, shingles binary").dropDuplicates(["cls"])
+    sets = _sets(base, asked, k)
     pairs = (
         close.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
         .select("a", "b", "left", "right")
-        .mapInArrow(_verifier(k, threshold), "a long, b long, jaccard double")
+        .mapInArrow(_verifier(threshold), "a long, b long, jaccard double")
     )
     return members, pairs
 
@@ -375,12 +413,12 @@ def similar_pairs(df: DataFrame, id_column: str, text_column: str, threshold: fl
     return across.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for the connected nodes of ``a, b``: each round joins every node to the least
     neighbour seen and halves paths (alternating large-star, small-star); edges stay distributed
     and every round is written to the shared folder."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for i in range(rounds):
+    for i in count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -392,7 +430,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         edges = next_edges
         if changed:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def similar_groups(df: DataFrame, id_column: str, text_column: str, threshold: float = 0.8, k: int = 5) -> DataFrame:
@@ -420,4 +457,4 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 def p5_groups(spark, sf_dir: str) -> DataFrame:
     speeches = table(spark, sf_dir, "speeches").select("speech_id", "text")
-    return similar_groups(speeches, "speech_id", "text").withColumnRenamed("id", "speech_id")
+    return similar_groups(speeches, "speech_id", "text", 0.5).withColumnRenamed("id", "speech_id")
