@@ -435,6 +435,21 @@ def test_language_held_out(samples):
     assert {coder.langs[i] for i in s["lang"]} == {held[0].lang, next(r.lang for r in held if r.lang not in (held[0].lang, "ru"))}
 
 
+def test_passages_and_documents_agree(spark, samples):
+    """Passages lie in the stored text, also where it is garbled, and have the languages of the documents' shares."""
+    of = {r.lang: r.text for r in samples.collect()}
+    texts = [of["ru"].encode("cp1251").decode("latin-1"), of["fr"].encode().decode("cp1252", "replace") + "\n\n" + of["de"], of["en"] + "\n\n" + of["ru"], "", "12 34", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    shares = {(r.id, r.lang): r for r in language.language_shares(df, "k", "t", samples).collect()}
+    assert set(shares) == {(0, "ru"), (1, "fr"), (1, "de"), (2, "en"), (2, "ru")} and all(r.confidence > 0.9 for r in shares.values())
+    words = collections.Counter()
+    for r in language.language_passages(df, "k", "t", samples).collect():
+        assert 0 <= r.start < r.end <= len(texts[r.id]) and 0.5 < r.confidence <= 1
+        words[r.id, r.lang] += r.words
+    assert words == {k: r.words for k, r in shares.items()}
+    assert language.language_passages(df, "k", "t", samples).where("id = 2 AND lang = 'ru'").first().start >= len(of["en"])
+
+
 def test_code_lengths_are_exact():
     tree = language.ContextTree(["aab ab"])
     for context in (b" ", b"a", b"zz", b" aa"):

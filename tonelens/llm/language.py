@@ -131,11 +131,42 @@ def sentence_starts(codes: Codes) -> np.ndarray:
     return np.flatnonzero(begin[:-1])
 
 
-def label(texts: list, coder: Coder):
-    """For each sentence: text, start, end, language, known words, confidence; and each text's language and confidence."""
+def prepared(texts: list, plausible: garble.Plausible) -> tuple[list, np.ndarray, np.ndarray]:
+    """(texts as they are labelled, their sentences' starts in the texts laid end to end, the same sentences' starts in the
+    stored texts).
+
+    A garbled text has the language it had before, and so has one in compatibility forms. Where that joins or parts
+    sentences, the stored text's own sentences are restored one by one.
+    """
+    plain = [t if not t or t.isascii() else unicodedata.normalize("NFKC", garble.repair(t, plausible)[1]) for t in texts]
+    stored, codes = Codes(texts), Codes(plain)
+    was, now = sentence_starts(stored), sentence_starts(codes)
+    of = lambda c, at: np.diff(np.searchsorted(at, c.starts))
+    odd = np.flatnonzero(of(stored, was) != of(codes, now))
+    if not len(odd):
+        return plain, now, was - stored.starts[stored.doc_of(was)]
+    starts = [part - c for part, c in zip(np.split(now, np.searchsorted(now, codes.starts[1:-1])), codes.starts)]
+    cut = np.searchsorted(was, stored.starts)
+    for d in odd.tolist():
+        own = was[cut[d] : cut[d + 1]] - stored.starts[d]
+        ends = [*own[1:].tolist(), len(texts[d])]
+        pieces = [unicodedata.normalize("NFKC", garble.repair(texts[d][i:j], plausible)[1]) for i, j in zip(own.tolist(), ends)]
+        plain[d], starts[d] = "".join(pieces), np.cumsum([0, *map(len, pieces[:-1])])
+    codes = Codes(plain)
+    return plain, np.concatenate([s + c for s, c in zip(starts, codes.starts)]), was - stored.starts[stored.doc_of(was)]
+
+
+def _sure(cost: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """Probability of a language by code lengths, of all languages alike before."""
+    return 1 / np.exp2(np.clip((cost[np.arange(len(cost)), lang][:, None] - cost) * TEMPER, -60, 60)).sum(axis=1)
+
+
+def label(texts: list, coder: Coder, starts: np.ndarray | None = None):
+    """For each sentence: text, start, end, language, known words, code lengths and confidence; and each text's language
+    and confidence. starts: where sentences begin in the texts laid end to end."""
     codes = Codes(texts)
     words = Words(codes)
-    starts = sentence_starts(codes)
+    starts = sentence_starts(codes) if starts is None else starts
     ends = np.append(starts[1:], len(codes.cp))
     bits = coder.of(words)
     known = bits.any(axis=1)
@@ -150,42 +181,56 @@ def label(texts: list, coder: Coder):
     rows = np.arange(len(own))
     weak = (n < LEAST_WORDS) | (cost[rows, top[doc]] - cost[rows, own] < LEAST_BITS)
     own = np.where(weak, top[doc], own)
-    sure = lambda c, i: 1 / np.exp2(np.clip((c[np.arange(len(c)), i][:, None] - c) * TEMPER, -60, 60)).sum(axis=1)
-    return {"doc": doc, "start": starts - codes.starts[doc], "end": np.minimum(ends - codes.starts[doc], codes.lengths[doc]), "lang": own, "words": n, "confidence": sure(cost, own)}, top, sure(whole, top)
+    return {"doc": doc, "start": starts - codes.starts[doc], "end": np.minimum(ends - codes.starts[doc], codes.lengths[doc]), "lang": own, "words": n, "cost": cost, "confidence": _sure(cost, own)}, top, _sure(whole, top)
 
 
 def _passages(batches, samples):
-    coder = Coder(samples)
+    coder, plausible = Coder(samples), garble.Plausible(samples)
     langs = np.array(coder.langs)
     for batch in batches:
         ids, texts = batch.column("id"), batch.column("text").to_pylist()
         for a, b in slices(texts):
-            s, _, _ = label(texts[a:b], coder)
+            plain, starts, stored = prepared(texts[a:b], plausible)
+            s, _, _ = label(plain, coder, starts)
+            lengths = np.array([len(t or "") for t in texts[a:b]])
+            end = np.append(stored[1:], 0)
+            last_of = np.append(s["doc"][1:] != s["doc"][:-1], True)
+            end = np.where(last_of, lengths[s["doc"]], end)
             # neighbouring sentences of one language are one passage
             new = np.ones(len(s["doc"]), bool)
             new[1:] = (s["doc"][1:] != s["doc"][:-1]) | (s["lang"][1:] != s["lang"][:-1])
             at = np.flatnonzero(new)
             last = np.append(at[1:], len(new)) - 1
             words = np.add.reduceat(s["words"], at)
-            weight = np.add.reduceat(s["confidence"] * s["words"], at)
+            sure = _sure(np.add.reduceat(s["cost"], at, axis=0), s["lang"][at])
             keep = words > 0
-            at, last, words, weight = at[keep], last[keep], words[keep], weight[keep]
-            yield pa.record_batch({"id": ids.take(pa.array(s["doc"][at] + a)), "start": pa.array(s["start"][at]), "end": pa.array(s["end"][last]), "lang": pa.array(langs[s["lang"][at]]), "words": pa.array(words), "confidence": pa.array(weight / words)})
+            at, last, words, sure = at[keep], last[keep], words[keep], sure[keep]
+            yield pa.record_batch({"id": ids.take(pa.array(s["doc"][at] + a)), "start": pa.array(stored[at]), "end": pa.array(end[last]), "lang": pa.array(langs[s["lang"][at]]), "words": pa.array(words), "confidence": pa.array(sure)})
 
 
-def _shares(batches, samples):
+def _shares(batches, samples, least: float = 0.0, cases: bool = False):
+    """Rows of the languages of each text with at least a share of its words; for cases only those of texts whose label
+    ``stated`` isn't the one such language."""
     coder, plausible = Coder(samples), garble.Plausible(samples)
     langs, k = np.array(coder.langs), len(coder.langs)
     for batch in batches:
         ids, texts = batch.column("id"), batch.column("text").to_pylist()
+        stated = batch.column("stated").to_pylist() if cases else None
         for a, b in slices(texts):
-            # a garbled text has the language it had before, and so has one in compatibility forms
-            plain = [t if not t or t.isascii() else unicodedata.normalize("NFKC", garble.repair(t, plausible)[1]) for t in texts[a:b]]
-            s, top, sure = label(plain, coder)
-            words = np.bincount(s["doc"] * k + s["lang"], s["words"], (b - a) * k).reshape(-1, k)
+            plain, starts, _ = prepared(texts[a:b], plausible)
+            s, _, _ = label(plain, coder, starts)
+            key = s["doc"] * k + s["lang"]
+            words = np.bincount(key, s["words"], (b - a) * k).reshape(-1, k)
             share = words / np.maximum(words.sum(axis=1, keepdims=True), 1)
-            d, i = np.nonzero(share)
-            yield pa.record_batch({"id": ids.take(pa.array(d + a)), "lang": pa.array(langs[i]), "words": pa.array(words[d, i].astype(np.int64)), "share": pa.array(share[d, i]), "confidence": pa.array(np.where(i == top[d], sure[d], share[d, i]))})
+            d, i = np.nonzero((share > 0) & (share >= least))
+            # a language's confidence is its coder's probability over the sentences that have it
+            cost = np.stack([np.bincount(key, s["cost"][:, j], (b - a) * k) for j in range(k)], 1)
+            sure = _sure(cost[d * k + i], i)
+            if cases:
+                single = np.bincount(d, minlength=b - a) == 1
+                right = single[d] & np.array([stated[a + x] == langs[y] for x, y in zip(d.tolist(), i.tolist())], bool)
+                d, i, sure = d[~right], i[~right], sure[~right]
+            yield pa.record_batch({"id": ids.take(pa.array(d + a)), "lang": pa.array(langs[i]), "words": pa.array(words[d, i].astype(np.int64)), "share": pa.array(share[d, i]), "confidence": pa.array(sure)})
 
 
 def fit_samples(samples: DataFrame, lang_column: str = "lang", text_column: str = "text") -> list[tuple[str, str]]:
@@ -198,10 +243,24 @@ def _texts(df: DataFrame, id_column: str, text_column: str, *more) -> DataFrame:
     return df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(F.col("text").isNotNull())
 
 
+SHARES = "id long, lang string, words long, share double, confidence double"
+
+
 def language_shares(df: DataFrame, id_column: str, text_column: str, samples: DataFrame) -> DataFrame:
-    """``id, lang, words, share, confidence`` of each document's languages; texts without known words give no row."""
+    """``id, lang, words, share, confidence`` of each document's languages; texts without known words give no row.
+
+    confidence: the probability of the language, by code lengths, for the sentences that have it.
+    """
+    fit = fit_samples(samples)
+    return _texts(df, id_column, text_column).mapInArrow(lambda b: _shares(b, fit), SHARES)
+
+
+def language_cases(df: DataFrame, id_column: str, text_column: str, language_column: str, samples: DataFrame, least: float = SHARE) -> DataFrame:
+    """The rows of ``language_shares`` with a share of ``least`` or more, of documents whose label names no language, or
+    another one, or that have more than one such language. One map; nothing is shuffled."""
     fit = fit_samples(samples)
-    return _texts(df, id_column, text_column).mapInArrow(lambda b: _shares(b, fit), "id long, lang string, words long, share double, confidence double")
+    rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), stated_language(F.col(language_column).cast("string")).alias("stated"))
+    return rows.where(F.col("text").isNotNull()).mapInArrow(lambda b: _shares(b, fit, least, True), SHARES)
 
 
 def language_passages(df: DataFrame, id_column: str, text_column: str, samples: DataFrame) -> DataFrame:
@@ -220,12 +279,8 @@ def stated_language(column):
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    speeches = table(spark, sf_dir, "speeches")
-    shares = language_shares(speeches, "speech_id", "text", table(spark, sf_dir, "lang_samples")).where(F.col("share") >= SHARE)
-    by_doc = shares.groupBy("id").agg(F.collect_list("lang").alias("langs"))
-    labels = speeches.select(F.col("speech_id").alias("id"), stated_language(F.col("Language")).alias("stated"))
-    cases = by_doc.join(labels, "id").where(F.col("stated").isNull() | (F.size("langs") > 1) | (F.col("langs")[0] != F.col("stated")))
-    return cases.select(F.col("id").alias("speech_id"), F.explode("langs").alias("lang"))
+    cases = language_cases(table(spark, sf_dir, "speeches"), "speech_id", "text", "Language", table(spark, sf_dir, "lang_samples"))
+    return cases.select(F.col("id").alias("speech_id"), "lang")
 
 
 def p2_languages(spark, sf_dir: str) -> DataFrame:

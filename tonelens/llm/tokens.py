@@ -25,6 +25,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Rows tokenized for the fit, and as many again for the holdout; a bound of the fit, whatever the input.
 SAMPLE_ROWS = 3000
+FIT_TASKS = 32
 LEAST_LANGUAGE_ROWS = 40
 FEATURES = ("bytes", "words", "digits", "punctuation", "spaces", "upper", "latin", "latin_wide", "cyrillic", "other")
 
@@ -122,13 +123,15 @@ def _sampled(batches, data):
 
 
 def fit(rows: DataFrame, data: bytes) -> Model:
-    """rows: ``id, text, lang``. The sample is every row whose id hashes to 0 (fit) or 1 (holdout)
-    modulo a number by which there are about SAMPLE_ROWS of each."""
+    """rows: ``id, text, lang``. The sample is every distinct row whose hash is 0 (fit) or 1 (holdout)
+    modulo a number by which there are about SAMPLE_ROWS of each; it is tokenized in FIT_TASKS tasks."""
     total = rows.count()
     every = max(1, total // (2 * SAMPLE_ROWS))
-    h = F.pmod(F.xxhash64("id"), F.lit(2 * every))
-    sample = rows.where(h < 2).withColumn("held", h == 1).limit(4 * SAMPLE_ROWS).mapInArrow(partial(_sampled, data=data), "lang string, held boolean, x array<double>, tokens long")
-    got = sample.toPandas()
+    tagged = rows.withColumn("h", F.xxhash64("id", "text"))
+    place = F.pmod("h", F.lit(2 * every))
+    # copies of one row are one, so a third of all rows being copies doesn't swell the sample
+    sample = tagged.where(place < 2).dropDuplicates(["h"]).withColumn("held", place == 1).repartition(FIT_TASKS, "h")
+    got = sample.select("text", "lang", "held").mapInArrow(partial(_sampled, data=data), "lang string, held boolean, x array<double>, tokens long").toPandas()
     if not len(got):
         return Model([], np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(0, bool))
     return Model(got["lang"].tolist(), np.array(got["x"].tolist()), got["tokens"].to_numpy(float), got["held"].to_numpy(bool))
