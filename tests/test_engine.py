@@ -9,7 +9,7 @@ from tonelens.errors import ConfigError, LoadError, ScoreError
 from tonelens.operators import series, summary
 from tonelens.operators.ids import dense_ids
 from tonelens.operators.preview import TextPreview, map_codes, union_by_name
-from tonelens.operators.score import map_text, score, score_hits, score_prefix, term_hits
+from tonelens.operators.score import add_method, map_text, score, score_hits, score_prefix, term_hits
 from tonelens.plans.banks import download, prepare, score_banks
 from tonelens.plans.pipeline import TonePipeline
 from tonelens.sources import readers, sinks
@@ -58,6 +58,27 @@ def test_long_form_agrees_with_wide(corpus, lexicon):
     assert score(corpus, lexicon, ["d"]).where("id = 1").select(map_text(F.col("d_words_positive_posneg"))).first()[0] == "gain:2"
 
 
+def test_large_lexicons_by_join(spark, corpus, lexicon, monkeypatch):
+    want = score(corpus, lexicon, ["d", "e"])
+    monkeypatch.setattr("tonelens.operators.score.MOST_TERMS", 3)
+    with pytest.raises(ScoreError, match="id_column"):
+        score(corpus, lexicon, ["d"])
+    with pytest.raises(KeyError):
+        score(corpus, lexicon, ["nope"], id_column="id")
+    got = score(corpus, lexicon, ["d", "e"], id_column="id")
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    rows = TonePipeline(spark, corpus.select(F.col("text"), F.lit("2024-01-01").alias("date")), lexicon).run({"tokenize": True}, ["d"])[2]
+    assert rows.count() == 4 and rows.where("d_sentiment_posneg > 1").count() == 1
+
+
+def test_methods_can_be_added(corpus, lexicon, caplog):
+    add_method("difference", lambda p, n, total: (p - n).cast("double"))
+    got = {r.id: r.d_sentiment_difference for r in score(corpus, lexicon, ["d"], ["difference"]).collect()}
+    assert got == {1: 1.0, 2: None, 3: 0.0, 4: 0.0, 5: -2.0}
+    score(corpus, lexicon, ["d"], ["no such method"])
+    assert "no such method" in caplog.text
+
+
 def test_prefix(spark, lexicon):
     df = spark.createDataFrame([("increase increasing creas",)], "text string")
     assert score_prefix(df, lexicon, "s").first().positive == 2
@@ -94,6 +115,34 @@ def test_loader(spark, tmp_path):
         readers.read_file(spark, str(tmp_path / "c.xlsx"))
 
 
+def test_folders(spark, corpus, tmp_path):
+    corpus.where("id < 3").write.parquet(str(tmp_path / "f" / "a"))
+    corpus.where("id > 2").drop("g").write.parquet(str(tmp_path / "f" / "b"))
+    df = readers.read_folder(spark, str(tmp_path / "f"), recursive=True)
+    assert df.count() == 5 and set(df.columns) == {"id", "text", "g"} and readers.partition_probe(df, "id").count() == 1
+    with pytest.raises(LoadError):
+        readers.read_folder(spark, str(tmp_path / "f"), "*.orc", recursive=True)
+    with pytest.raises(LoadError):
+        readers.read_folder(spark, str(tmp_path / "none"))
+
+
+def test_command_line(spark, lexicon, tmp_path, capsys):
+    from tonelens import cli
+
+    assert cli.main(["--test"]) == 0 and "demo_sentiment_posneg" in capsys.readouterr().out
+    (tmp_path / "in.csv").write_text("body,day\nA gain and a loss.,2024-01-01\nA gain.,2024-01-02\n")
+    lexicon.write.parquet(str(tmp_path / "lexicon.parquet"))
+    (tmp_path / "params.yaml").write_text(f"""
+input: {{file_path: {tmp_path}/in.csv, text_column: body, date_column: day}}
+output: {{export_path: {tmp_path}/out, export_results: true}}
+models: {{lexical: {{lexicon_path: {tmp_path}/lexicon.parquet, dictionaries: {{unstemmed: [d], stemmed: [s]}}, aggregation_methods: [posneg]}}}}
+cleaning: {{tokenize: true, stem: true}}
+""")
+    assert cli.main(["--config", str(tmp_path / "params.yaml")]) == 0
+    rows = spark.read.parquet(str(tmp_path / "out/sentiment_all_results.parquet")).orderBy("id_text").collect()
+    assert [(r.id_text, r.d_sentiment_posneg, r.s_sentiment_posneg_stem) for r in rows] == [(1, 1.0, 1.0), (2, 2.0, 1.0)]
+
+
 def test_filters(corpus):
     assert {r.id for r in readers.with_text(corpus).collect()} == {1, 3, 4, 5}
     assert {r.id for r in readers.with_nonblank_text(corpus).collect()} == {1, 4, 5}
@@ -129,17 +178,17 @@ def test_sinks(spark, corpus, lexicon, tmp_path):
 @pytest.mark.parametrize("rows", [1, 100])
 def test_dense_ids_over_ranges(spark, rows):
     df = spark.range(0, 1000).withColumn("g", F.col("id") % 3).withColumn("id", F.when(F.col("id") > 990, None).otherwise(F.col("id") % 400))
-    got = dense_ids(df, ["id", "g"], "n", bucket_rows=rows if rows > 1 else 10**6)
+    got = dense_ids(df, ["id", "g"], "n", range_keys=rows if rows > 1 else 10**6)
     assert sorted(r.n for r in got.collect()) == list(range(1, 1001))
     ordered = [r.id for r in got.orderBy("n").collect()]
     assert ordered == sorted(ordered, key=lambda x: (x is not None, x))
-    per = dense_ids(df, ["id"], "n", "g", bucket_rows=rows if rows > 1 else 10**6)
+    per = dense_ids(df, ["id"], "n", "g", range_keys=rows if rows > 1 else 10**6)
     assert all(sorted(r.n for r in part) == list(range(1, len(part) + 1)) for part in ([r for r in per.collect() if r.g == g] for g in range(3)))
 
 
 def test_dense_ids_by_text(spark):
     words = [None, "", "a", "ab", "zoë", "Ж", "a" * 9, "😀", "b", "a" * 8 + "b"] * 30
-    got = dense_ids(spark.createDataFrame([(w,) for w in words], "w string"), "w", "n", bucket_rows=20).orderBy("n").collect()
+    got = dense_ids(spark.createDataFrame([(w,) for w in words], "w string"), "w", "n", range_keys=20).orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, len(words) + 1))
     assert [r.w for r in got] == sorted(words, key=lambda w: (w is not None, (w or "").encode()))
     with pytest.raises(ValueError):
@@ -168,6 +217,20 @@ def test_histogram_and_describe(spark):
     assert (d["count"], d.mean, d.p25, d.p50, d.max) == (31, 15.0, 7.5, 15.0, 30.0)
 
 
+@pytest.mark.parametrize("kind", ["spread", "ties"])
+def test_quartiles_between_bounds(spark, monkeypatch, kind):
+    """Exact quartiles where the sketch gives bounds only, also with a third of all rows alike."""
+    monkeypatch.setattr(summary, "ACCURACY", 50)
+    df = spark.range(2000).select(((F.col("id") * 7919) % 2003 / 7.0).alias("v"), F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id").cast("double")).alias("w"))
+    if kind == "ties":
+        df = df.withColumn("v", F.when(F.col("v") < 100, 42.0).otherwise(F.col("v")))
+    rows = {r.column: r for r in summary.describe(df, ["v", "w"]).collect()}
+    for c in ("v", "w"):
+        want = df.select(F.percentile(c, [0.25, 0.5, 0.75])).first()[0]
+        assert [rows[c].p25, rows[c].p50, rows[c].p75] == pytest.approx(want)
+    assert summary.describe(df.limit(0), ["v"]).first()["count"] == 0
+
+
 def test_series(spark):
     days = ["2024-01-05", "2024-01-06", "2024-04-01", "2024-05-01", "2024-06-30"]
     df = spark.createDataFrame([(datetime.date.fromisoformat(d), float(i)) for i, d in enumerate(days)] + [(None, 9.0)], "d date, v double")
@@ -181,7 +244,8 @@ def test_series(spark):
 def test_previews_and_maps(spark):
     df = spark.createDataFrame([(1, "x" * 600, datetime.datetime(2024, 1, 1), "XAA")], "id int, text string, date timestamp_ntz, c string")
     view = TextPreview(df, "text", "date", "id")
-    assert len(view.previews().first().preview) == 500 and view.compare(1).first().title == "2024-01-01" and view.compare(2).count() == 0
+    assert len(view.previews().first().preview) == 500 and view.compare(1).first().title == "2024-01-01"
+    assert tuple(view.compare(2).first()) == ("Error: Text ID '2' not found", "", "")
     with pytest.raises(TypeError):
         TextPreview([], "text", "date")
     with pytest.raises(ValueError):
@@ -204,10 +268,23 @@ def test_banks(spark, sf):
 def test_streams(spark, sf, lexicon):
     docs = spark.read.parquet(f"{sf}/statements.parquet")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "statements.parquet").parquet(sf)
-    got = live.drain(live.score_stream(stream, lexicon, ["d"]).select("statement_id", "d_sentiment_posneg"), "scored_stream")
+    got = live.drain(live.score_stream(stream, lexicon, ["d"]).select("statement_id", "d_sentiment_posneg"))
     assert got.count() == docs.count()
 
 
+def test_stream_goes_on_where_it_ended_and_drops_what_is_late(spark, tmp_path):
+    def put(name, *hours):
+        day = datetime.datetime(2024, 1, 1)
+        spark.createDataFrame([(day + datetime.timedelta(hours=h), "a", 1.0) for h in hours], "ts timestamp_ntz, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    put("one", 0, 0.5, 3, 9)
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    drained = lambda: live.drain(live.windowed_events(live.read_stream(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {(r.start.hour, r.n) for r in drained().collect()} == {(0, 2), (3, 1)}
+    put("two", 1, 8.5, 20)  # the first is late by more than two hours
+    assert {(r.start.hour, r.n) for r in drained().collect()} == {(0, 2), (3, 1), (8, 1), (9, 1)}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

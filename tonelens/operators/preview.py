@@ -25,9 +25,13 @@ class TextPreview:
         return self.df.agg(F.min(self.id).alias("least"), F.max(self.id).alias("largest"))
 
     def compare(self, text_id) -> DataFrame:
-        """``title, original, cleaned`` of one row; no row if there is none."""
+        """``title, original, cleaned`` of one row; of an unknown id a title that says so, and empty texts."""
         cleaned = F.col(self.cleaned) if self.cleaned in self.df.columns else F.lit(None).cast("string")
-        return self.df.where(F.col(self.id) == text_id).select(F.date_format(self.date, "yyyy-MM-dd").alias("title"), F.col(self.text).alias("original"), cleaned.alias("cleaned")).limit(1)
+        row = self.df.where(F.col(self.id) == text_id).select(F.lit(0).alias("__at"), F.date_format(self.date, "yyyy-MM-dd").alias("title"), F.col(self.text).alias("original"), cleaned.alias("cleaned")).limit(1)
+        one = self.df.sparkSession.range(1).select(F.lit(0).alias("__one"))
+        there = F.col("__at").isNotNull()
+        title = F.when(there, F.col("title")).otherwise(F.lit(f"Error: Text ID '{text_id}' not found"))
+        return one.join(row, F.col("__one") == F.col("__at"), "left").select(title.alias("title"), *[F.when(there, F.col(c)).otherwise(F.lit("")).alias(c) for c in ("original", "cleaned")])
 
 
 def columns_from(df: DataFrame, first: str) -> DataFrame:

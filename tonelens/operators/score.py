@@ -3,12 +3,13 @@
 The wide scorer is one narrow pass over the text for all dictionaries and methods: tokens that are terms
 of any dictionary are kept first, and the counts, word maps and scores are made from that short list.
 Nothing is shuffled and no join is made. It takes lexicons of up to ``MOST_TERMS`` terms as literals;
-larger ones go through the long form, a join on the term.
+with larger ones tokens meet the lexicon in an equi-join, and the counts come back to the documents by their id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import logging
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +20,13 @@ from ..functions.text import word_tokens
 
 MOST_TERMS = 50_000
 METHODS = ("posneg", "allwords")
+log = logging.getLogger(__name__)
 
 
-def lexicon_rows(lexicon: DataFrame) -> list:
-    """Terms on the driver; at most MOST_TERMS, else an error that names the long form."""
+def lexicon_rows(lexicon: DataFrame) -> list | None:
+    """Terms on the driver; None if there are more than MOST_TERMS."""
     rows = lexicon.select("dictionary", "polarity", "term", "pos").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ScoreError(f"more than {MOST_TERMS} terms: use term_hits and score_hits")
-    return rows
+    return None if len(rows) > MOST_TERMS else rows
 
 
 def _lists(rows: Iterable, dictionary: str) -> dict[str, list[str]]:
@@ -60,68 +60,117 @@ def total_words(text: Column) -> Column:
 
 
 def word_map(hits: Column, terms: list[str]) -> Column:
-    """{term: count} of the hits, in the dictionary's order; empty without hits."""
+    """{term: count} of the hits, in the dictionary's order; empty without hits. Only words that are there are looked at."""
     if not terms:
         return F.create_map().cast("map<string,bigint>")
     order = F.array(*[F.lit(x) for x in terms])
-    there = F.filter(order, lambda t: F.array_contains(hits, t))
-    counts = F.transform(there, lambda t: F.size(F.filter(hits, lambda h: h == t)).cast("long"))
-    return F.map_from_arrays(there, counts)
+    entry = lambda t: F.struct(F.array_position(order, t).alias("pos"), t.alias("term"), F.size(F.filter(hits, lambda h: h == t)).cast("long").alias("n"))
+    there = F.array_sort(F.transform(F.array_distinct(hits), entry))
+    return F.map_from_arrays(F.transform(there, lambda x: x["term"]), F.transform(there, lambda x: x["n"]))
 
 
-def score(df: DataFrame, lexicon: DataFrame, dictionaries: Iterable[str], methods: Iterable[str] = METHODS, text_column: str = "text", raw_column: str = "text", suffix: str = "", maps: bool = True) -> DataFrame:
+#: Score of a method from positive hits, negative hits and words; more are added by ``add_method``.
+FORMULAS: dict[str, Callable[[Column, Column, Column], Column]] = {"posneg": lambda p, n, total: posneg(p, n), "allwords": allwords}
+#: Methods that also give the number of words.
+WITH_TOTAL = {"allwords"}
+
+
+def add_method(name: str, formula: Callable[[Column, Column, Column], Column], total: bool = False) -> None:
+    """Makes ``formula(positive, negative, words)`` known to ``score`` as a method; total: it divides by the words."""
+    FORMULAS[name] = formula
+    (WITH_TOTAL.add if total else WITH_TOTAL.discard)(name)
+
+
+def _from_literals(df: DataFrame, lists: dict, text_column: str, maps: bool) -> DataFrame:
+    """``df`` with ``__d_polarity`` counts and ``__d_polarity_map`` for each dictionary d, in one narrow pass."""
+    wanted = sorted({t for x in lists.values() for p in ("positive", "negative") for t in x[p]})
+    tagged = df.withColumn("__hits", F.filter(word_tokens(F.col(text_column)), lambda t: _in(t, wanted)))
+    hits = {f"__{d}_{p}_hits": _among("__hits", x[p]) for d, x in lists.items() for p in ("positive", "negative")}
+    tagged = tagged.withColumns(hits) if hits else tagged
+    parts = {}
+    for d, x in lists.items():
+        for p in ("positive", "negative"):
+            own = f"__{d}_{p}_hits"
+            parts[f"__{d}_{p}"] = F.greatest(F.size(own).cast("long"), F.lit(0).cast("long"))
+            if maps:
+                parts[f"__{d}_{p}_map"] = word_map(F.col(own), x[p])
+    return tagged.withColumns(parts) if parts else tagged
+
+
+def _from_join(df: DataFrame, lexicon: DataFrame, dictionaries: list[str], text_column: str, maps: bool, id_column: str | None) -> DataFrame:
+    """The same by the long form: counts of a document come back to it by its id, which must be unique."""
+    if id_column is None:
+        raise ScoreError(f"lexicons of more than {MOST_TERMS} terms need id_column, a unique id of the rows")
+    hits = term_hits(df, lexicon.where(F.col("dictionary").isin(dictionaries)), id_column, text_column)
+    aggs = []
+    for d in dictionaries:
+        for p in ("positive", "negative"):
+            own = (F.col("dictionary") == d) & (F.col("polarity") == p)
+            aggs.append(F.sum(F.when(own, F.col("n"))).alias(f"__{d}_{p}"))
+            if maps:
+                aggs.append(F.array_sort(F.collect_list(F.when(own, F.struct("pos", "term", "n")))).alias(f"__{d}_{p}_list"))
+    sums = hits.groupBy(F.col(id_column).alias("__id")).agg(*aggs)
+    out = df.join(sums, F.col(id_column) == F.col("__id"), "left")
+    parts = {}
+    for d in dictionaries:
+        for p in ("positive", "negative"):
+            parts[f"__{d}_{p}"] = F.coalesce(f"__{d}_{p}", F.lit(0)).cast("long")
+            if maps:
+                x = F.col(f"__{d}_{p}_list")
+                parts[f"__{d}_{p}_map"] = F.map_from_arrays(F.transform(x, lambda e: e["term"]), F.transform(x, lambda e: e["n"]))
+    return out.withColumns(parts)
+
+
+def score(df: DataFrame, lexicon: DataFrame, dictionaries: Iterable[str], methods: Iterable[str] = METHODS, text_column: str = "text", raw_column: str = "text", suffix: str = "", maps: bool = True, id_column: str | None = None) -> DataFrame:
     """``df`` with, for each dictionary d and method m: ``d_counttoken_positive_m``, ``d_counttoken_negative_m``,
     ``d_words_positive_m``, ``d_words_negative_m``, for allwords ``d_counttoken_total_allwords``, and
     ``d_sentiment_m``, each with the suffix.
 
     text_column is scored; allwords divides by the words of raw_column, whatever is scored. Rows with null
     raw text get null in every new column, blank ones score 1. An unknown method gives counts without a
-    score; an unknown dictionary is a KeyError. Columns of df that bear a new name are an error.
+    score, and a warning; an unknown dictionary is a KeyError. Columns of df that bear a new name are an error.
+    id_column: a unique id, for lexicons of more than MOST_TERMS terms.
     """
     for c in (text_column, raw_column):
         if c not in df.columns:
             raise ValueError(f"Text column '{c}' isn't in the data")
     rows, dictionaries, methods = lexicon_rows(lexicon), list(dictionaries), list(methods)
-    known = {r["dictionary"] for r in rows}
+    known = {r["dictionary"] for r in (rows if rows is not None else lexicon.where(F.col("dictionary").isin(dictionaries)).select("dictionary").distinct().collect())}
     if missing := [d for d in dictionaries if d not in known]:
         raise KeyError(f"no dictionary named {', '.join(missing)}")
-    lists = {d: _lists(rows, d) for d in dictionaries}
-    wanted = sorted({t for d in dictionaries for p in ("positive", "negative") for t in lists[d][p]})
     kept = list(df.columns)
-    new: list[Column] = []
-    names: list[str] = []
-    tagged = df.withColumn("__hits", F.filter(word_tokens(F.col(text_column)), lambda t: _in(t, wanted)))
-    if "allwords" in methods:
+    if rows is not None:
+        tagged = _from_literals(df, {d: _lists(rows, d) for d in dictionaries}, text_column, maps)
+    else:
+        tagged = _from_join(df, lexicon, dictionaries, text_column, maps, id_column)
+    if any(m in WITH_TOTAL for m in methods):
         tagged = tagged.withColumn("__total", total_words(F.col(raw_column)))
-    parts = {}
-    for d in dictionaries:
-        for p in ("positive", "negative"):
-            parts[f"__{d}_{p}"] = _among("__hits", lists[d][p])
-    tagged = tagged.withColumns(parts) if parts else tagged
-    there = F.col(raw_column).isNotNull()
-    put = lambda c, name: (new.append(F.when(there, c).alias(name)), names.append(name))
+    none, there = F.create_map().cast("map<string,bigint>"), F.col(raw_column).isNotNull()
+    new: dict[str, Column] = {}
+    for m in methods:
+        if m not in FORMULAS:
+            log.warning("unknown method %s: hits are counted and no score is made", m)
     for d in dictionaries:
-        p, n = F.size(f"__{d}_positive").cast("long"), F.size(f"__{d}_negative").cast("long")
-        p, n = F.greatest(p, F.lit(0).cast("long")), F.greatest(n, F.lit(0).cast("long"))
+        p, n = F.col(f"__{d}_positive"), F.col(f"__{d}_negative")
         for m in methods:
-            put(p, f"{d}_counttoken_positive_{m}{suffix}")
-            put(n, f"{d}_counttoken_negative_{m}{suffix}")
+            new |= {f"{d}_counttoken_positive_{m}{suffix}": p, f"{d}_counttoken_negative_{m}{suffix}": n}
             if maps:
-                for x in ("positive", "negative"):
-                    put(F.coalesce(word_map(F.col(f"__{d}_{x}"), lists[d][x]), F.create_map().cast("map<string,bigint>")), f"{d}_words_{x}_{m}{suffix}")
-            if m == "allwords":
-                put(F.col("__total"), f"{d}_counttoken_total_allwords{suffix}")
-                put(allwords(p, n, F.col("__total")), f"{d}_sentiment_allwords{suffix}")
-            elif m == "posneg":
-                put(posneg(p, n), f"{d}_sentiment_posneg{suffix}")
-    if clash := sorted(set(names) & set(kept)):
+                new |= {f"{d}_words_{x}_{m}{suffix}": F.coalesce(F.col(f"__{d}_{x}_map"), none) for x in ("positive", "negative")}
+            if m in WITH_TOTAL:
+                new[f"{d}_counttoken_total_{m}{suffix}"] = F.col("__total")
+            if m in FORMULAS:
+                new[f"{d}_sentiment_{m}{suffix}"] = FORMULAS[m](p, n, F.col("__total") if m in WITH_TOTAL else F.lit(None))
+    if clash := sorted(set(new) & set(kept)):
         raise ValueError(f"the data already has {', '.join(clash)}")
-    return tagged.select(*kept, *new)
+    return tagged.select(*kept, *[F.when(there, c).alias(name) for name, c in new.items()])
 
 
 def score_prefix(df: DataFrame, lexicon: DataFrame, dictionary: str, text_column: str = "text") -> DataFrame:
     """``df`` with ``positive``, ``negative`` and ``sentiment``: terms are beginnings of words (an extension)."""
-    lists = _lists(lexicon_rows(lexicon), dictionary)
+    rows = lexicon_rows(lexicon.where(F.col("dictionary") == dictionary))
+    if rows is None:
+        raise ScoreError(f"a dictionary of word beginnings may have {MOST_TERMS} terms")
+    lists = _lists(rows, dictionary)
 
     def hits(terms: list[str]) -> Column:
         if not terms:

@@ -39,10 +39,10 @@ def to_partitions(spark: SparkSession, csv_path: str, folder: str, schema=None)
 
 
 def score_banks(spark: SparkSession, speeches: DataFrame | str, iso_map: DataFrame, lexicon: DataFrame, options: dict, dictionaries: dict | list, methods=METHODS, bank: str | None = None, out: str | None = None, order_by: str = "speech_id") -> DataFrame:
-    """All banks' speeches scored; with ``out`` also written, one merged table. Failures stop the job."""
+    """All banks' speeches scored; with ``out`` also written, one merged table. Failures stop the job. order_by: a unique id."""
     table = read_folder(spark, speeches) if isinstance(speeches, str) else speeches
     ready = prepare(table, iso_map, bank).withColumnsRenamed({"Date": "date"})
-    pipe = TonePipeline(spark, ready, lexicon, order_by=order_by, partition_by="CentralBank")
+    pipe = TonePipeline(spark, ready, lexicon, order_by=order_by, partition_by="CentralBank", id_column=order_by)
     pipe.load()
     pipe.clean(options)
     scored = pipe.score(dictionaries, methods)

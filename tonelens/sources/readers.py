@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,11 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer tasks than there are cores, as one small file does; a scan
-    that fills the cluster by itself stays as it is, without a shuffle."""
+    """``df`` over all cores where its files make fewer tasks than there are cores, as one small file does.
+
+    What is moved is at most ``spark.sql.files.maxPartitionBytes`` for each core; a scan that fills the cluster by itself
+    stays as it is.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -70,8 +74,11 @@ def load_corpus(spark: SparkSession, path: str, text_column: str = "text", date_
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*.parquet*", recursive: bool = False) -> DataFrame:
-    """Every matching file of a folder as one table, columns by name."""
-    return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("mergeSchema", True).parquet(folder)
+    """Every matching file of a folder as one table, columns by name; LoadError if there is none."""
+    try:
+        return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("mergeSchema", True).parquet(folder)
+    except AnalysisException as e:
+        raise LoadError(f"no {pattern} in {folder}: {e}") from e
 
 
 def partition_probe(df: DataFrame, column: str = "CentralBank") -> DataFrame:
