@@ -5,24 +5,26 @@ Every query runs over its whole tables.
 
 from __future__ import annotations
 
-from functools import partial
+import unicodedata
+from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.arrow import html_text_udf, stems_udf, to_ascii_udf, treebank_tokens_udf
+from ..functions.arrow import ABBREVIATIONS, html_text_udf, stems_udf, to_ascii_udf, treebank_tokens_udf
 from ..functions.stopwords import stop_words
 from ..operators import preview as look
 from ..operators import score as sc
 from ..operators import series as ts
 from ..operators import summary as sm
-from ..operators.clean import clean, clean_expression
+from ..operators.clean import clean
 from ..operators.ids import dense_ids
-from ..config import CleanConfig
 from ..sources import readers, sinks
+from ..sources.shared import new_path
 from ..streaming import live
 from . import banks
+from .pipeline import TonePipeline
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,7 +96,7 @@ for _name, _of, _key, _dict, _method in (
 @query("score_all_wide")
 def score_all_wide(spark, d):
     """All dictionaries for tokens and both methods in one pass."""
-    df = readers.with_text(table(spark, d, "statements").select("statement_id", "text"))
+    df = readers.with_text(table(spark, d, "speeches").select("speech_id", "text"))
     return sc.score(df, table(spark, d, "lexicon"), ["tone_a", "tone_b"], maps=False).drop("text")
 
 
@@ -110,12 +112,12 @@ def _wide_sql() -> str:
             if m == "allwords":
                 out.append(f"total AS {x}_counttoken_total_allwords")
             out.append(formula.replace("(p - n)", f"({x}_p - {x}_n)").replace("p + n", f"{x}_p + {x}_n") + f" AS {x}_sentiment_{m}")
-    return f"""WITH t AS (SELECT statement_id, unnest({TOKENS.format("text")}) AS term FROM statements WHERE text IS NOT NULL),
-h AS (SELECT statement_id, {", ".join(cols)} FROM t JOIN lexicon l USING (term) GROUP BY statement_id),
-w AS (SELECT statement_id, count(*) AS total FROM t WHERE term NOT IN ({", ".join(map(quoted, stop_words()))}) GROUP BY statement_id),
-s AS (SELECT x.statement_id, {", ".join(f"coalesce({a}_{b}, 0)::BIGINT AS {a}_{b}" for a in ("tone_a", "tone_b") for b in "pn")}, coalesce(total, 0)::BIGINT AS total
-      FROM statements x LEFT JOIN h USING (statement_id) LEFT JOIN w USING (statement_id) WHERE x.text IS NOT NULL)
-SELECT statement_id, {", ".join(out)} FROM s"""
+    return f"""WITH t AS (SELECT speech_id, unnest({TOKENS.format("text")}) AS term FROM speeches WHERE text IS NOT NULL),
+h AS (SELECT speech_id, {", ".join(cols)} FROM t JOIN lexicon l USING (term) GROUP BY speech_id),
+w AS (SELECT speech_id, count(*) AS total FROM t WHERE term NOT IN ({", ".join(map(quoted, stop_words()))}) GROUP BY speech_id),
+s AS (SELECT x.speech_id, {", ".join(f"coalesce({a}_{b}, 0)::BIGINT AS {a}_{b}" for a in ("tone_a", "tone_b") for b in "pn")}, coalesce(total, 0)::BIGINT AS total
+      FROM speeches x LEFT JOIN h USING (speech_id) LEFT JOIN w USING (speech_id) WHERE x.text IS NOT NULL)
+SELECT speech_id, {", ".join(out)} FROM s"""
 
 
 SQL["score_all_wide"] = _wide_sql()
@@ -169,8 +171,8 @@ def posneg_prefix_tone_c(spark, d):
 
 @query("score_stems_tone_c")
 def score_stems_tone_c(spark, d):
-    """Stems of cleaned statements against the dictionary of word beginnings, by exact match."""
-    cleaned = clean(readers.with_text(table(spark, d, "statements")), "text", {"stem": True})
+    """Stems of cleaned speeches against the dictionary of word beginnings, by exact match."""
+    cleaned = clean(readers.with_text(table(spark, d, "speeches").select("speech_id", "text")), "text", {"stem": True})
     return sc.score(cleaned, table(spark, d, "lexicon"), ["tone_c"], text_column="text_stems", suffix="_stem", maps=False).drop("text_tokens", "text", "text_clean")
 
 
@@ -199,11 +201,34 @@ def _first_sql(x: str, patterns, make) -> str:
 
 
 def _punct_sql(x: str) -> str:
-    for pattern, to in ((r"[.]{2,}", "..."), (r"[!]{2,}", "!"), (r"[?]{2,}", "?"), (r"[,]{2,}", ","), (r"[;]{2,}", ";"), (r"[-]{3,}", "---")):
-        x = _re(x, pattern, to)
+    for mark, least, left in (*((m, 2, 1) for m in t.ONCE), *((m, n, 3) for m, n in t.THRICE)):
+        x = _re(x, f"[{mark}]{{{least},}}", mark * left)
     return x
 
 
+@lru_cache(1)
+def _ascii_map() -> str:
+    """Every character that stands for ASCII ones, by Unicode's compatibility decomposition, as a DuckDB map."""
+    pairs = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000}
+    return "MAP {" + ", ".join(f"{quoted(c)}: {quoted(a)}" for c, a in pairs.items() if a) + "}"
+
+
+def _ascii_sql(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE WHEN c < chr(128) THEN c ELSE coalesce(({_ascii_map()})[c], '') END), '')"
+
+
+def _tokens_sql(x: str) -> str:
+    """Treebank tokens of letters only, of text with normalised white space, as one text: marks are dropped, so they
+    part words as spaces do, and what stays in a word with a digit or sign drops the word."""
+    x = f"replace(lower({x}), ' ', '  ')"
+    x = _re(x, rf"(^| )([\"'(\[{{]*)(?:{'|'.join(sorted(a for a in ABBREVIATIONS if '.' not in a))}|\p{{L}})\. ", r"\1\2 0 ")
+    x = _re(_re(x, r"\.( |$)", r" \1"), r"[:,](\p{Nd})", r"0\1")
+    x = _re(_re(x, r"[:,;@#$%&?!*\[\](){}<>\"]|--", " ") + " || ' '", r"([^'])' ", r"\1 ' ")
+    x = _re(_re(x, r"([^' ])(?:'s|'m|'d|') ", r"\1 "), r"([^' ])(?:'ll|'re|'ve|n't) ", r"\1 ")
+    x = _re(x, r"\b(can|gim|gon|got|lem|wan)(not|me|na|ta)\b", r"\1 \2")
+    return f"array_to_string(list_filter(regexp_split_to_array({x}, ' +'), lambda w: regexp_full_match(w, '\\p{{L}}+')), ' ')"
+
+
 STEPS = {
     "encoding": (t.fix_encoding, lambda x: _replaced(x, t.ENCODING_FIXES)),
     "html_tags": (t.strip_tags, lambda x: _strip_sql(_re(_re(x, r"<[^\n]*?>", ""), f"{SPACE}+", " "))),
@@ -226,46 +251,39 @@ for _name in STEPS:
 
 
 def _chain_sql(x: str) -> str:
-    for name in ("encoding", "html_tags", "quotes", "numbers", "punct", "ws"):
-        x = STEPS[name][1](x)
+    for name in ("encoding", "ascii", "html_tags", "quotes", "numbers", "punct", "ws"):
+        x = _ascii_sql(x) if name == "ascii" else STEPS[name][1](x)
     return x
 
 
-@query("clean_full_ascii", rf"SELECT speech_id, {_chain_sql('text')} AS text_clean FROM speeches WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7F]')")
-def clean_full_ascii(spark, d):
-    """All cleaning steps on the texts that are plain ASCII, where SQL has them all."""
-    rows = table(spark, d, "speeches").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("speech_id", clean_expression(F.col("text"), CleanConfig()).alias("text_clean"))
-
-
-@query("clean_full")
+@query("clean_full", f"SELECT speech_id, {_chain_sql('text')} AS text_clean FROM speeches")
 def clean_full(spark, d):
     return clean(table(spark, d, "speeches").select("speech_id", "text")).drop("text")
 
 
-@query("normalize_unicode", r"SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]+', '', 'g') AS text_ascii FROM documents")
+@query("normalize_unicode", f"SELECT speech_id, {_ascii_sql('text')} AS text_ascii FROM speeches")
 def normalize_unicode(spark, d):
-    return table(spark, d, "documents").select("doc_id", to_ascii_udf("text").alias("text_ascii"))
+    return table(spark, d, "speeches").select("speech_id", to_ascii_udf("text").alias("text_ascii"))
 
 
-@query("html_text")
+@query("html_text", "SELECT speech_id, array_to_string(list_append(list_filter(string_split(text, chr(10)), lambda x: x <> ''), '& more'), ' ') AS text FROM speeches WHERE text IS NOT NULL")
 def html_text(spark, d):
-    """Statements as pages, and the text read from them."""
+    """Speeches as pages, and the text read from them; their texts have no marks of HTML."""
     page = F.concat(F.lit("<html><head><title>x</title></head><body><p>"), F.replace(F.col("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p><script>var a = 1;</script>&amp; more</body></html>"))
-    return table(spark, d, "statements").select("statement_id", html_text_udf(page).alias("text"))
+    return readers.with_text(table(spark, d, "speeches")).select("speech_id", html_text_udf(page).alias("text"))
 
 
-@query("tokenize")
+@query("tokenize", f"SELECT speech_id, {_tokens_sql('x')} AS tokens FROM (SELECT speech_id, {STEPS['ws'][1]('text')} AS x FROM speeches WHERE text IS NOT NULL)")
 def tokenize(spark, d):
-    return table(spark, d, "statements").select("statement_id", F.array_join(treebank_tokens_udf(t.normalize_whitespace(F.col("text"))), " ").alias("tokens"))
+    return readers.with_text(table(spark, d, "speeches")).select("speech_id", F.array_join(treebank_tokens_udf(t.normalize_whitespace(F.col("text"))), " ").alias("tokens"))
 
 
 @query("stem")
 def stem(spark, d):
-    return table(spark, d, "statements").select("statement_id", F.array_join(stems_udf(treebank_tokens_udf(F.col("text"))), " ").alias("stems"))
+    return table(spark, d, "speeches").select("speech_id", F.array_join(stems_udf(treebank_tokens_udf(F.col("text"))), " ").alias("stems"))
 
 
-@query("spelling_american", f"""WITH m(b, a) AS (VALUES {", ".join(f"({quoted(b)}, {quoted(a)})" for b, a in zip(t.SPELLINGS[::2], t.SPELLINGS[1::2]))}),
+@query("spelling_american", f"""WITH m(b, a) AS (VALUES {", ".join(f"({quoted(b)}, {quoted(a)})" for b, a in t.SPELLINGS.items())}),
 w AS (SELECT doc_id, unnest({TOKENS.format("text")}) AS word FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, a AS word, count(*)::BIGINT AS n FROM w JOIN m ON word = b GROUP BY ALL""")
 def spelling_american(spark, d):
@@ -384,15 +402,15 @@ def describe_values(spark, d):
     return _rounded(sm.describe(table(spark, d, "orders"), ["o_totalprice"]))
 
 
-@query("describe_scores", f"WITH {_hits_sql('statements', 'statement_id', 'tone_a')}, r AS (SELECT {POSNEG} AS a, {ALLWORDS} AS b FROM s) " + _describe_sql("r", [("tone_a_sentiment_posneg", "a"), ("tone_a_sentiment_allwords", "b")]))
+@query("describe_scores", f"WITH {_hits_sql('speeches', 'speech_id', 'tone_a')}, r AS (SELECT {POSNEG} AS a, {ALLWORDS} AS b FROM s) " + _describe_sql("r", [("tone_a_sentiment_posneg", "a"), ("tone_a_sentiment_allwords", "b")]))
 def describe_scores(spark, d):
-    scored = sc.score(readers.with_text(table(spark, d, "statements")), table(spark, d, "lexicon"), ["tone_a"], maps=False)
+    scored = sc.score(readers.with_text(table(spark, d, "speeches").select("speech_id", "text")), table(spark, d, "lexicon"), ["tone_a"], maps=False)
     return _rounded(sm.describe(scored, t.score_columns(scored.columns)))
 
 
-@query("score_means", f"WITH {_hits_sql('statements', 'statement_id', 'tone_a')} SELECT round(avg({POSNEG}), 6) AS tone_a_sentiment_posneg, round(avg({ALLWORDS}), 6) AS tone_a_sentiment_allwords FROM s")
+@query("score_means", f"WITH {_hits_sql('speeches', 'speech_id', 'tone_a')} SELECT round(avg({POSNEG}), 6) AS tone_a_sentiment_posneg, round(avg({ALLWORDS}), 6) AS tone_a_sentiment_allwords FROM s")
 def score_means(spark, d):
-    scored = sc.score(readers.with_text(table(spark, d, "statements")), table(spark, d, "lexicon"), ["tone_a"], maps=False)
+    scored = sc.score(readers.with_text(table(spark, d, "speeches").select("speech_id", "text")), table(spark, d, "lexicon"), ["tone_a"], maps=False)
     return _rounded(sm.column_means(scored, t.score_columns(scored.columns)))
 
 
@@ -477,26 +495,146 @@ def lexicon_preview(spark, d):
 # Whole pipelines ----------------------------------------------------------------------------------------------------
 
 
-@query("score_banks")
+def _cleaned_sql(of: str) -> str:
+    """CTEs over ``of``: ``c`` with text_clean and text_tokens_str, ``s`` with the scores of tone_a by both methods."""
+    return f"""q AS (SELECT *, {_chain_sql('text')} AS text_clean FROM {of}),
+c AS (SELECT *, coalesce({_tokens_sql('text_clean')}, '') AS text_tokens_str FROM q),
+t AS (SELECT speech_id, unnest({TOKENS.format("text_tokens_str")}) AS term FROM c),
+h AS (SELECT speech_id, sum(CASE WHEN polarity = 'positive' THEN 1 ELSE 0 END) AS hp, sum(CASE WHEN polarity = 'negative' THEN 1 ELSE 0 END) AS hn
+      FROM t JOIN lexicon l ON l.term = t.term AND l.dictionary = 'tone_a' GROUP BY speech_id),
+r AS (SELECT speech_id, unnest({TOKENS.format("text")}) AS term FROM c),
+w AS (SELECT speech_id, count(*) AS words FROM r WHERE term NOT IN ({", ".join(map(quoted, stop_words()))}) GROUP BY speech_id),
+k AS (SELECT c.*, coalesce(hp, 0)::BIGINT AS p, coalesce(hn, 0)::BIGINT AS n, coalesce(words, 0)::BIGINT AS total FROM c LEFT JOIN h USING (speech_id) LEFT JOIN w USING (speech_id)),
+s AS (SELECT *, CASE WHEN text IS NOT NULL THEN {POSNEG} END AS tone_a_sentiment_posneg, CASE WHEN text IS NOT NULL THEN {ALLWORDS} END AS tone_a_sentiment_allwords FROM k)"""
+
+
+BANKS_SQL = f"""WITH f AS (SELECT speech_id, "CentralBank", iso2, text, row_number() OVER (PARTITION BY "CentralBank" ORDER BY speech_id)::BIGINT AS id_text
+FROM speeches LEFT JOIN iso_map ON "Country" = iso3 WHERE regexp_matches(coalesce(text, ''), '[^{SPACE[1:]}')), {_cleaned_sql("f")}
+SELECT speech_id, "CentralBank", iso2, id_text, tone_a_sentiment_posneg, tone_a_sentiment_allwords FROM s"""
+
+
+def _banks(spark, d, dictionaries: dict, out: str | None = None) -> DataFrame:
+    scored = banks.score_banks(spark, table(spark, d, "speeches"), table(spark, d, "iso_map"), table(spark, d, "lexicon"), {"tokenize": True, "stem": bool(dictionaries.get("stemmed"))}, dictionaries, out=out)
+    return scored.select("speech_id", "CentralBank", "iso2", "id_text", *t.score_columns(scored.columns))
+
+
+@query("score_banks", BANKS_SQL)
 def score_banks(spark, d):
-    """The batch driver over all banks: cleaned, tokenized, stemmed, scored, numbered bank by bank."""
-    dictionaries = {"unstemmed": ["tone_a", "tone_b"], "stemmed": ["tone_c"]}
-    out = banks.score_banks(spark, table(spark, d, "speeches"), table(spark, d, "iso_map"), table(spark, d, "lexicon"), {"stem": True}, dictionaries)
-    return out.select("speech_id", "CentralBank", "iso2", "id_text", *t.score_columns(out.columns))
+    """The batch driver over all banks: cleaned, tokenized, scored, numbered bank by bank."""
+    return _banks(spark, d, {"unstemmed": ["tone_a"]})
+
+
+@query("score_banks_stems")
+def score_banks_stems(spark, d):
+    """The same with stems and all dictionaries."""
+    return _banks(spark, d, {"unstemmed": ["tone_a", "tone_b"], "stemmed": ["tone_c"]})
+
+
+@query("merged_banks", BANKS_SQL)
+def merged_banks(spark, d):
+    """The merged table as it was written."""
+    path = new_path(spark, "merged")
+    columns = _banks(spark, d, {"unstemmed": ["tone_a"]}, path).columns
+    return readers.read_folder(spark, path).select(*columns)
+
+
+EXPORTS_SQL = f"""WITH f AS (SELECT speech_id, text, row_number() OVER (ORDER BY "Date" NULLS FIRST, speech_id)::BIGINT AS id_text FROM speeches), {_cleaned_sql("f")} """
+
+
+def _exported(spark, d, name: str) -> DataFrame:
+    """One of the files that a run of the pipeline writes."""
+    path = new_path(spark, "export")
+    # numbered by the date, and by the id among speeches of one date
+    speeches = dense_ids(table(spark, d, "speeches").select("speech_id", "text", "Date"), ["Date", "speech_id"], "place")
+    pipe = TonePipeline(spark, speeches, table(spark, d, "lexicon"), "text", "Date", path, order_by="place")
+    pipe.run({"tokenize": True}, ["tone_a"], export_results=True)
+    return readers.read_file(spark, f"{path}/{name}.parquet")
 
 
-@query("combined_export")
+@query("export_cleaned", EXPORTS_SQL + "SELECT speech_id, id_text, text_clean, text_tokens_str FROM s")
+def export_cleaned(spark, d):
+    return _exported(spark, d, "cleaned").select("speech_id", "id_text", "text_clean", "text_tokens_str")
+
+
+@query("export_lexical", EXPORTS_SQL + "SELECT id_text, p AS tone_a_counttoken_positive_posneg, n AS tone_a_counttoken_negative_posneg, total AS tone_a_counttoken_total_allwords, tone_a_sentiment_posneg, tone_a_sentiment_allwords FROM s WHERE text IS NOT NULL")
+def export_lexical(spark, d):
+    return _exported(spark, d, "sentiment_lexical").select("id_text", "tone_a_counttoken_positive_posneg", "tone_a_counttoken_negative_posneg", "tone_a_counttoken_total_allwords", "tone_a_sentiment_posneg", "tone_a_sentiment_allwords")
+
+
+@query("combined_export", EXPORTS_SQL + "SELECT speech_id, id_text, text_clean, text_tokens_str, tone_a_sentiment_posneg, tone_a_sentiment_allwords FROM s")
 def combined_export(spark, d):
-    """Cleaned statements with their scores; those without text have null scores."""
-    cleaned = clean(table(spark, d, "statements"), "text", {"tokenize": True}, ["date", "statement_id"])
-    scored = sc.score(readers.with_text(cleaned), table(spark, d, "lexicon"), ["tone_a"], maps=False, text_column="text_tokens_str")
-    return sinks.combined(cleaned, scored.drop("text_tokens")).drop("text_tokens")
+    """Cleaned speeches with their scores; those without text have null scores."""
+    return _exported(spark, d, "sentiment_all_results").select("speech_id", "id_text", "text_clean", "text_tokens_str", "tone_a_sentiment_posneg", "tone_a_sentiment_allwords")
+
+
+# Sources and sinks --------------------------------------------------------------------------------------------------
+
+
+@query("csv_corpus", "SELECT statement_id, text, date FROM statements")
+def csv_corpus(spark, d):
+    """Statements written as CSV under other column names, and loaded as a corpus."""
+    path = new_path(spark, "statements") + ".csv"
+    sinks.write_csv(table(spark, d, "statements").select("statement_id", F.col("text").alias("body"), F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("published")), path)
+    return readers.load_corpus(spark, path, "body", "published", "statement_id bigint, body string, published string").select("statement_id", "text", "date")
+
+
+@query("parquet_corpus", 'SELECT speech_id, text, "Date" AS date FROM speeches')
+def parquet_corpus(spark, d):
+    path = new_path(spark, "speeches") + ".parquet.gzip"
+    sinks.write_parquet(table(spark, d, "speeches").select("speech_id", F.col("text").alias("body"), F.col("Date").alias("published")), path)
+    return readers.load_corpus(spark, path, "body", "published").select("speech_id", "text", "date")
+
 
+@query("partitioned_folders", r"""SELECT speech_id, "CentralBank", lower(regexp_replace(regexp_replace("CentralBank", '[<>:"/\\|?*\s]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g')) AS file_key FROM speeches WHERE "CentralBank" IS NOT NULL""")
+def partitioned_folders(spark, d):
+    """One folder for each bank, read again as one table."""
+    path = new_path(spark, "banks")
+    sinks.write_partitioned(table(spark, d, "speeches").select("speech_id", "CentralBank", "text"), path)
+    return readers.read_folder(spark, path).select("speech_id", F.col("CentralBank").cast("string").alias("CentralBank"), "file_key")
 
-@query("stream_windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+
+@query("scores_csv", f"WITH {_hits_sql('speeches', 'speech_id', 'tone_a')} SELECT speech_id, p AS positive, n AS negative, {POSNEG} AS sentiment FROM s")
+def scores_csv(spark, d):
+    """Scores exported as CSV, with word maps as JSON, and read again."""
+    path = new_path(spark, "scores") + ".csv"
+    scored = sc.score(readers.with_text(table(spark, d, "speeches").select("speech_id", "text")), table(spark, d, "lexicon"), ["tone_a"], ["posneg"]).drop("text")
+    sinks.write_csv(scored, path)
+    back = readers.read_file(spark, path, ", ".join(f"{c} {'string' if kind.startswith('map') else kind}" for c, kind in scored.dtypes))
+    return back.select("speech_id", F.col("tone_a_counttoken_positive_posneg").alias("positive"), F.col("tone_a_counttoken_negative_posneg").alias("negative"), F.col("tone_a_sentiment_posneg").alias("sentiment"))
+
+
+@query("lexicon_lists", "SELECT dictionary, polarity, term FROM lexicon")
+def lexicon_lists(spark, d):
+    """The lexicon as nested lists, as in its YAML file, and as a table again."""
+    spec: dict = {}
+    for r in sorted(sc.lexicon_rows(table(spark, d, "lexicon")) or [], key=lambda r: r["pos"]):
+        spec.setdefault(r["dictionary"], {}).setdefault(r["polarity"], []).append(r["term"])
+    return readers.checked_lexicon(spark.createDataFrame(readers.flatten_lexicon(spec), readers.LEXICON)).select("dictionary", "polarity", "term")
+
+
+@query("bank_names", 'SELECT count(DISTINCT "CentralBank")::BIGINT AS banks, 1::BIGINT AS probed FROM speeches')
+def bank_names(spark, d):
+    """Banks of the table, and whether the probe of one value gives one of them."""
+    speeches = table(spark, d, "speeches").where(F.col("CentralBank").isNotNull())
+    probe = readers.partition_probe(speeches).select(F.col("CentralBank").alias("one"))
+    return sm.distinct_count(speeches, "CentralBank").withColumnRenamed("n", "banks").crossJoin(F.broadcast(probe)).select("banks", F.col("one").isNotNull().cast("bigint").alias("probed"))
+
+
+# Streams ------------------------------------------------------------------------------------------------------------
+
+
+@query("stream_windowed_events", """SELECT date_trunc('hour', ts) AS start, event_type AS kind, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""")
 def stream_windowed_events(spark, d):
-    """Tumbling windows over the events as a stream, drained once."""
-    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = "windowed_events_" + str(abs(hash(d)) % 10**9)
-    rows = live.drain(live.windowed_events(stream), name, mode="complete")
+    """Tumbling windows over the events as a stream, drained once: those that the watermark has closed."""
+    stream = live.read_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+    rows = live.drain(live.windowed_events(stream))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "kind", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_scores", SQL["posneg_table_lexicon"])
+def stream_scores(spark, d):
+    """Statements scored as a stream."""
+    stream = live.read_stream(spark, d, table(spark, d, "statements").schema, "statements.parquet").where("text IS NOT NULL")
+    scored = sc.score(stream, table(spark, d, "lexicon"), ["tone_a"], ["posneg"], maps=False)
+    return live.drain(scored.select("statement_id", F.col("tone_a_counttoken_positive_posneg").alias("positive"), F.col("tone_a_counttoken_negative_posneg").alias("negative"), F.col("tone_a_sentiment_posneg").alias("sentiment")))

@@ -23,10 +23,13 @@ def write_partitioned(df: DataFrame, path: str, key: str = "CentralBank") -> Non
 
 
 def write_csv(df: DataFrame | None, path: str) -> None:
+    """A folder of CSV files that ``read_file`` reads as they were: quotes doubled, white space kept, null and empty apart;
+    maps, arrays and structs as JSON."""
     if df is None:
         raise ScoreError("there is no result to export yet")
     maps = [c for c, kind in df.dtypes if kind.startswith(("map", "array", "struct"))]
-    df.withColumns({c: F.to_json(c) for c in maps}).write.mode("overwrite").option("header", True).csv(path)
+    writer = df.withColumns({c: F.to_json(c) for c in maps}).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def combined(cleaned: DataFrame, scored: DataFrame | None, key: str = "id_text", complete: bool = False) -> DataFrame:
