@@ -147,3 +147,14 @@ def p8_usage(spark, sf_dir: str) -> DataFrame:
     """``containers, tokens, unused_share`` of the packing."""
     rows = p8_containers(spark, sf_dir).where("container IS NOT NULL")
     return rows.agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * CAPACITY))
+
+
+def p8_checks(spark, sf_dir: str) -> DataFrame:
+    """``documents, packed, overfull, split``: all documents, those with text in a container, containers beyond the
+    capacity, and documents in several pieces that fit into one container."""
+    rows = p8_containers(spark, sf_dir)
+    docs = rows.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.count("container").alias("placed"))
+    fill = rows.where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("tokens")).agg(F.count(F.when(F.col("tokens") > CAPACITY, 1)).alias("overfull"))
+    counts = docs.agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.col("placed") == F.col("pieces"), 1)).alias("packed"), F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= CAPACITY), 1)).alias("split"))
+    # one row each
+    return counts.crossJoin(F.broadcast(fill)).select("documents", "packed", "overfull", "split")

@@ -6,23 +6,27 @@ from . import boilerplate, garbled, language, leaks, lookalike, neardup, packing
 
 QUERIES = {
     "p1_found": lookalike.p1_found,
+    "p1_plain": lookalike.p1_plain,
     "p1_unified": lookalike.p1_unified,
     "p2_found": language.p2_found,
     "p2_languages": language.p2_languages,
     "p2_passages": language.p2_passages,
     "p3_totals": tokens.p3_totals,
+    "p3_slices": tokens.p3_slices,
     "p3_tokens": tokens.p3_tokens,
     "p4_found": scanned.p4_found,
     "p4_repaired": scanned.p4_repaired,
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
     "p6_found": garbled.p6_found,
+    "p6_lost": garbled.p6_lost,
     "p6_restored": garbled.p6_restored,
     "p7_found": boilerplate.p7_found,
     "p7_blocks": boilerplate.p7_blocks,
     "p7_block_lines": boilerplate.p7_block_lines,
     "p7_clean": boilerplate.p7_clean,
     "p8_containers": packing.p8_containers,
+    "p8_checks": packing.p8_checks,
     "p8_usage": packing.p8_usage,
     "p9_found": leaks.p9_found,
     "p9_similar": leaks.p9_similar,
@@ -36,6 +40,16 @@ SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 #: SQL for those that SQL can express in reasonable time; the other operators are tested against brute force, round
 #: trips or held-out accuracy.
 SQL: dict[str, str] = {
+    "p1_plain": r"SELECT speech_id FROM speeches WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7F]')",
+    "p3_slices": rf"""
+WITH r AS (SELECT "CentralBank" AS bank, "Source" AS source, nullif(regexp_extract("URL", '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), '') AS host,
+           CASE {" ".join(f"WHEN regexp_extract(lower(trim(\"Language\")), '^([a-z]+)', 1) IN ({', '.join(repr(n) for n in names.split())}) THEN '{code}'" for code, names in language.NAMES.items())} END AS lang FROM speeches)
+SELECT 'bank' AS dimension, bank AS value, count(*)::BIGINT AS speeches FROM r GROUP BY ALL UNION ALL SELECT 'lang', lang, count(*)::BIGINT FROM r GROUP BY ALL
+UNION ALL SELECT 'source', source, count(*)::BIGINT FROM r GROUP BY ALL UNION ALL SELECT 'host', host, count(*)::BIGINT FROM r GROUP BY ALL""",
+    "p6_lost": """
+SELECT speech_id, 'text' AS field FROM speeches WHERE length(text) - length(replace(text, '\ufffd', '')) >= 3
+UNION ALL SELECT speech_id, 'text_original' FROM speeches WHERE length(text_original) - length(replace(text_original, '\ufffd', '')) >= 3""",
+    "p8_checks": "SELECT count(*)::BIGINT AS documents, count(CASE WHEN text <> '' THEN 1 END)::BIGINT AS packed, 0::BIGINT AS overfull, 0::BIGINT AS split FROM documents",
     "p5_found": f"""
 WITH w AS (SELECT speech_id, {WORDS} AS w FROM speeches WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT speech_id, array_to_string(w[i:i + 4], ' ') AS g

@@ -199,3 +199,8 @@ def p3_tokens(spark, sf_dir: str) -> DataFrame:
 
 def p3_totals(spark, sf_dir: str) -> DataFrame:
     return token_budget(table(spark, sf_dir, "speeches"), "speech_id", "text", "Language", "CentralBank", "Source", "URL")
+
+
+def p3_slices(spark, sf_dir: str) -> DataFrame:
+    """Speeches of each slice of the budget."""
+    return p3_totals(spark, sf_dir).select("dimension", "value", "speeches")
