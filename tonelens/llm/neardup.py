@@ -49,7 +49,7 @@ SENT_ROWS = 1_000_000
 SMALL_BAND = 5
 FLUSH = 1 << 21
 #: Texts whose signatures are merged together, and tasks for them at most; a task takes one range after the other.
-ROWS_A_RANGE = 10_000
+ROWS_A_RANGE = 5_000
 MOST_TASKS = 20_000
 
 SIGNED = "range int, sig binary, doc binary, classes binary"
@@ -375,7 +375,7 @@ def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold:
     kept as often as they come. The work is in proportion to the texts and the candidates found.
     """
     base = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    ranges = int(max(16, base.count() // ROWS_A_RANGE))
+    ranges = int(max(2, base.count() // ROWS_A_RANGE))
     signed = base.mapInArrow(_signer(k, threshold, miss, ranges), SIGNED).repartition(min(2 * ranges, MOST_TASKS), "range")
     merged = written(signed.groupBy("range").applyInArrow(merge, MERGED), "merged")
     members = merged.where("kind = 0").select(F.col("a").alias("cls"), F.col("b").alias("id"), F.col("n"))
