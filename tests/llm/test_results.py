@@ -64,7 +64,7 @@ def test_query_equals_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
     want = con.execute(SQL[name])
     names = [c[0] for c in want.description]
-    assert sorted(tuple(r[n] for n in names) for r in QUERIES[name](spark, sf).collect()) == sorted(want.fetchall())
+    assert sorted((tuple(r[n] for n in names) for r in QUERIES[name](spark, sf).collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 def test_tiny_texts_with_hot_signatures(spark, monkeypatch):
