@@ -1,18 +1,20 @@
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 import tonelens
-from tonelens.config import load_yaml
+from tonelens.config import default_params_path, load_yaml, package_path
 from tonelens.errors import ConfigError, LoadError, ScoreError
 from tonelens.operators import series, summary
 from tonelens.operators.ids import dense_ids
 from tonelens.operators.preview import TextPreview, map_codes, union_by_name
 from tonelens.operators.score import add_method, map_text, score, score_hits, score_prefix, term_hits
-from tonelens.plans.banks import download, prepare, score_banks
+from tonelens.plans.banks import download, prepare, score_banks, to_partitions
 from tonelens.plans.pipeline import TonePipeline
 from tonelens.sources import readers, sinks
+from tonelens.sources.shared import shared_dir, written
 from tonelens.streaming import live
 
 TERMS = [("d", "positive", "gain", 1), ("d", "positive", "high-low", 2), ("d", "negative", "loss", 3), ("d", "negative", "against", 4), ("d", "neutral", "rate", 5), ("e", "positive", "loss", 1), ("s", "positive", "increas", 1)]
@@ -312,5 +314,47 @@ def test_download_keeps_what_is_there(tmp_path):
     assert open(download(source.as_uri(), str(target))).read() == "x"
 
 
+def test_downloaded_file_to_bank_folders(spark, tmp_path):
+    (tmp_path / "all.csv").write_text('CentralBank,text,Date\n"Bank of A","One, ""two""\nthree",2024-01-01\n,lost,2024-01-01\nBank: B,four,2024-01-02\n')
+    path = download((tmp_path / "all.csv").as_uri(), str(tmp_path / "got" / "all.csv"))
+    assert to_partitions(spark, path, str(tmp_path / "banks"), "CentralBank string, text string, Date string").count() == 3
+    rows = readers.read_folder(spark, str(tmp_path / "banks")).collect()
+    assert {(r.CentralBank, r.text, r.file_key) for r in rows} == {("Bank of A", 'One, "two"\nthree', "bank_of_a"), ("Bank: B", "four", "bank_b")}
+
+
+def test_paths(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    assert default_params_path() == str(tmp_path / "params.yaml") and os.path.exists(package_path("config.py"))
+
+
+def test_csv_keeps_texts_as_they_are(spark, tmp_path):
+    texts = ["a, b", 'he said "x"', " lead", "trail ", "two\nlines", "", None, "back\\slash", "ümlaut"]
+    sinks.write_csv(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), str(tmp_path / "t.csv"))
+    assert {r.i: r.t for r in readers.read_file(spark, str(tmp_path / "t.csv"), "i int, t string").collect()} == {i: t or None for i, t in enumerate(texts)}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, tmp_path, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert shared_dir(Session()) == "hdfs://shared"
+    df = written(spark.range(3), "three")
+    assert df.count() == 3 and df.columns == ["id"]
+
+
+def test_row_numbers_sort_no_texts(spark, sf):
+    """The text is shuffled once, to meet its number, and no window or sort without partitions sees it."""
+    numbered = plan(dense_ids(spark.read.parquet(f"{sf}/speeches.parquet").select("speech_id", "text", "Date"), ["Date", "speech_id"], "n"))
+    assert "SinglePartition" not in "".join(x for x in numbered.split("\n") if "text" in x)
+    assert sum("Exchange" in x and "text#" in x for x in numbered.split("\n")) <= 1
+
+
 def test_names():
     assert tonelens.__version__ and all(getattr(tonelens, n) for n in tonelens.__all__)

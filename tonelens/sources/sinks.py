@@ -23,8 +23,8 @@ def write_partitioned(df: DataFrame, path: str, key: str = "CentralBank") -> Non
 
 
 def write_csv(df: DataFrame | None, path: str) -> None:
-    """A folder of CSV files that ``read_file`` reads as they were: quotes doubled, white space kept, null and empty apart;
-    maps, arrays and structs as JSON."""
+    """A folder of CSV files that ``read_file`` reads as they were: quotes doubled, white space kept; maps,
+    arrays and structs as JSON. An empty text is read as null, which CSV has no other sign for."""
     if df is None:
         raise ScoreError("there is no result to export yet")
     maps = [c for c, kind in df.dtypes if kind.startswith(("map", "array", "struct"))]
