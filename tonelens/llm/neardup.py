@@ -15,7 +15,9 @@ indexed by each of their shingles, which is exact. Every candidate is verified e
 shingle sets.
 
 Texts with the same set are one class; a class is indexed once, so copies make no pairs among
-themselves. Allocation by cost: signatures that more than ``HOT`` classes share make no pairs by themselves. A text
+themselves. A first pass names the classes and the text that stands for each; a filter of those is sent to the second,
+which indexes what passes. Its signatures name a text by its place among the texts signed with it, one byte as a rule, so a
+signature takes about five bytes however many ranges they are cut into. Allocation by cost: signatures that more than ``HOT`` classes share make no pairs by themselves. A text
 with at most ``DROPS`` of them in a band leaves them out, which S allows for; so every pair with such a text is found by the
 others. Texts with more, as those made of common lines for a good part, are paired among each other by their shingles
 instead: by the prefix principle two sets reach the threshold only if they share one of their rarest shingles, of which each
@@ -32,9 +34,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .leaks import Bloom, bloom_of
 from .shared import table, written
 from .textkit import U64, Codes, Words, first_of, mix, slices
 
@@ -52,7 +56,11 @@ FLUSH = 1 << 21
 ROWS_A_RANGE = 5_000
 MOST_TASKS = 20_000
 
-SIGNED = "range int, sig binary, doc binary, classes binary"
+#: Bits of a text's number below those of its task.
+TASK_SHIFT = 40
+
+NAMED = "cls long, id long, key long"
+SIGNED = "range int, base long, sig binary, doc binary"
 MERGED = "kind int, a long, b long, n long"
 
 
@@ -149,71 +157,90 @@ def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, mi
 
 
 class _Out:
-    """Signatures of a task, sent as sorted blocks, one for each range of signatures."""
+    """Signatures of a task, sent as blocks, one for each range of signatures; its texts are numbered from ``base``."""
+
+    def __init__(self, ranges: int, base: int):
+        self.ranges, self.base, self.sent = ranges, base, base >> TASK_SHIFT
+        self._clear()
 
-    def __init__(self, ranges: int):
-        self.ranges, self.sig, self.cls, self.rows = ranges, [], [], 0
+    def _clear(self):
+        self.sig, self.doc, self.cls, self.n, self.rows, self.texts = [], [], [], [], 0, 0
 
-    def add(self, sig: np.ndarray, cls: np.ndarray):
+    def add(self, sig: np.ndarray, doc: np.ndarray, cls: np.ndarray, n: np.ndarray):
+        """Signatures with the places of their texts, and class and number of signatures of each text."""
         self.sig.append(sig)
+        self.doc.append(doc + self.texts)
         self.cls.append(cls)
+        self.n.append(n)
         self.rows += len(sig)
+        self.texts += len(cls)
 
     def batches(self):
-        if not self.rows:
+        if not self.texts:
             return
-        sig, cls = np.concatenate(self.sig), np.concatenate(self.cls)
-        self.sig, self.cls, self.rows = [], [], 0
-        order = np.argsort(sig, kind="stable")
-        sig, cls = sig[order], cls[order]
-        part = (((sig >> U64(34)) * U64(self.ranges)) >> U64(30)).astype(np.int64)
-        at = np.append(first_of(part), len(part))
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            yield _row(int(part[a]), sig[a:b], cls[a:b])
+        sig, doc, cls, n = (np.concatenate(x) for x in (self.sig, self.doc, self.cls, self.n))
+        yield _block([-1 - self.sent % self.ranges], self.base, cls, n.astype(np.int64), np.array([0, len(cls)]))
+        if len(sig):
+            part = (((sig >> U64(34)) * U64(self.ranges)) >> U64(30)).astype(np.int64)
+            order = np.argsort(part << 32 | doc, kind="stable")
+            part, doc = part[order], doc[order]
+            at = first_of(part)
+            step = np.diff(doc, prepend=0)
+            step[at] = doc[at]
+            top = int(step.max())
+            step = step.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+            # the range has the bits above
+            yield _block(part[at], self.base, sig[order].astype("<u4"), step, np.append(at, len(part)))
+        self.base, self.sent = self.base + self.texts, self.sent + 1
+        self._clear()
+
+
+def _block(parts, base: int, sig: np.ndarray, doc: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+    """One row for each range, with its stretch of both arrays as bytes."""
+    cut = lambda x: pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+    return pa.record_batch({"range": pa.array(parts, pa.int32()), "base": pa.array([base] * len(parts), pa.int64()), "sig": cut(sig), "doc": cut(doc)})
+
 
+def class_keys(cls: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(cls.astype(U64) ^ mix(ids.astype(np.int64).astype(U64)))
 
-def pack(x: np.ndarray) -> bytes:
-    """The low 40 bits of each number, in 5 bytes."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
+def _classer(k: int):
+    """Class, id and key of the texts with words."""
 
-def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+    def classes(batches):
+        for batch in batches:
+            ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
+            for a, b in slices(texts):
+                d, h, n = shingle_sets(texts[a:b], k)
+                has = np.flatnonzero(n > 0)
+                cls, own = set_classes(d, h, b - a)[has], ids[a:b][has]
+                yield pa.record_batch({"cls": pa.array(cls.astype(np.int64)), "id": pa.array(own.astype(np.int64)), "key": pa.array(class_keys(cls, own).astype(np.int64))})
 
+    return classes
 
-def _row(part: int, sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    """Signatures as 5 bytes (the range has the bits above), classes by their place in a list of the block's classes."""
-    known, place = np.unique(cls, return_inverse=True)
-    place = place.astype(np.uint16 if len(known) < 65536 else np.uint32)
-    return pa.record_batch({"range": pa.array([part], pa.int32()), "sig": pa.array([pack(sig)], pa.binary()), "doc": pa.array([place.tobytes()], pa.binary()), "classes": pa.array([known.tobytes()], pa.binary())})
 
+def _signer(k: int, threshold: float, miss: float, ranges: int, leads: Bloom):
+    """Signatures of the texts that stand for a class, by the filter of their keys; a copy that passes it is indexed as well."""
 
-def _signer(k: int, threshold: float, miss: float, ranges: int):
     def sign(batches):
-        out, members = _Out(ranges), []
+        out, taken = _Out(ranges, TaskContext.get().partitionId() << TASK_SHIFT), set()
         for batch in batches:
             ids, texts = batch.column("id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist()
             for a, b in slices(texts):
                 d, h, n = shingle_sets(texts[a:b], k)
                 cls = set_classes(d, h, b - a)
                 has = np.flatnonzero(n > 0)
-                # copies within the slice are indexed once
+                has = has[leads.holds(class_keys(cls[has], ids[a:b][has]))]
+                # copies within the task are indexed once
+                has = np.array([i for i in has.tolist() if (c := int(cls[i])) not in taken and not taken.add(c)], np.int64)
                 lead = np.zeros(b - a, bool)
-                lead[has[np.unique(cls[has], return_index=True)[1]]] = True
+                lead[has] = True
                 doc, sig = signatures(d[lead[d]], h[lead[d]], n, threshold, miss)
-                members.append((ids[a:b][has], cls[has], np.bincount(doc, minlength=b - a)[has]))
-                out.add(sig, cls[doc])
+                out.add(sig, (np.cumsum(lead) - 1)[doc], cls[has], np.bincount(doc, minlength=b - a)[has])
                 if out.rows >= FLUSH:
                     yield from out.batches()
         yield from out.batches()
-        if members:
-            ids, cls, n = (np.concatenate(x) for x in zip(*members))
-            part = (cls % U64(ranges)).astype(np.int64)
-            for p in np.unique(part).tolist():
-                own = part == p
-                yield pa.record_batch({"range": pa.array([-1 - p], pa.int32()), "sig": pa.array([ids[own].astype(np.int64).tobytes()], pa.binary()), "doc": pa.array([n[own].astype(np.int64).tobytes()], pa.binary()), "classes": pa.array([cls[own].tobytes()], pa.binary())})
 
     return sign
 
@@ -256,19 +283,18 @@ def pairs_within(sig: np.ndarray, cls: np.ndarray, hot: int) -> tuple[np.ndarray
 
 
 def merge(rows: pa.Table) -> pa.Table:
-    """Of one range: kind 0 members (class, id, signatures), 1 pairs (a, b, shared), 2 hot (signature, class, classes)."""
+    """Of one range: kind 0 texts (number, class, signatures), 1 pairs (a, b, shared), 2 hot (signature, number, texts)."""
     parts = []
-    cols = [rows.column(c).to_pylist() for c in ("range", "sig", "doc", "classes")]
+    cols = [rows.column(c).to_pylist() for c in ("range", "base", "sig", "doc")]
     if cols[0][0] < 0:
-        for _, s, d, c in zip(*cols):
-            parts.append(_rows(0, np.frombuffer(c, U64), np.frombuffer(s, np.int64), np.frombuffer(d, np.int64)))
+        for _, base, c, n in zip(*cols):
+            parts.append(_rows(0, base + np.arange(len(c) // 8), np.frombuffer(c, U64), np.frombuffer(n, np.int64)))
     else:
-        sigs, classes = [], []
-        for _, s, d, c in zip(*cols):
-            count = len(s) // 5
-            sigs.append(unpack(s))
-            classes.append(np.frombuffer(c, U64)[np.frombuffer(d, np.uint16 if len(d) == 2 * count else np.uint32)])
-        a, b, n, hots = pairs_within(np.concatenate(sigs), np.concatenate(classes), HOT)
+        sigs, texts = [], []
+        for _, base, s, d in zip(*cols):
+            sigs.append(np.frombuffer(s, "<u4").astype(U64))
+            texts.append(base + np.cumsum(np.frombuffer(d, {4: np.uint8, 2: np.uint16, 1: np.uint32}[len(s) // len(d)]), dtype=np.int64))
+        a, b, n, hots = pairs_within(np.concatenate(sigs), np.concatenate(texts), HOT)
         parts.append(_rows(1, a, b, n))
         for s, c in hots:
             parts.append(_rows(2, s | U64((cols[0][0] & 0x7FFFFF) << 40), c, np.full(len(c), len(c))))
@@ -299,13 +325,13 @@ def _block_pairs(threshold: float):
     return pairs
 
 
-def heavy_classes(hot: DataFrame, leads: DataFrame) -> DataFrame:
+def heavy_classes(hot: DataFrame, numbers: DataFrame, leads: DataFrame) -> DataFrame:
     """``cls, id`` of the classes with more hot signatures in a band than a text may leave out.
 
-    hot: ``sig, cls``; leads: ``cls, id, sigs``.
+    hot: ``sig, number``; numbers: ``number, cls, sigs``; leads: ``cls, id``.
     """
-    counts = hot.groupBy("cls", F.col("sig").bitwiseAND(1).alias("band")).agg(F.count(F.lit(1)).alias("hot")).join(leads, "cls")
-    return counts.where(F.col("hot") > F.least(F.lit(DROPS), F.floor(F.col("sigs") * DROP_SHARE))).select("cls", "id").distinct()
+    counts = hot.groupBy("number", F.col("sig").bitwiseAND(1).alias("band")).agg(F.count(F.lit(1)).alias("hot")).join(numbers, "number")
+    return counts.where(F.col("hot") > F.least(F.lit(DROPS), F.floor(F.col("sigs") * DROP_SHARE))).select("cls").distinct().join(leads, "cls")
 
 
 def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -369,24 +395,30 @@ def _sets(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 def similar_classes(df: DataFrame, id_column: str, text_column: str, threshold: float = 0.8, k: int = 5, miss: float = 5e-5) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of near-duplicate texts.
 
-    members: ``cls, id, n``, the class of every text with at least one word (texts with one set of
+    members: ``cls, id``, the class of every text with at least one word (texts with one set of
     shingles have one class). pairs: ``a, b, jaccard`` of classes whose similarity reaches
     ``threshold``, a < b. Null, empty and word-less texts belong to no class; repeated ids are
     kept as often as they come. The work is in proportion to the texts and the candidates found.
     """
     base = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    ranges = int(max(2, base.count() // ROWS_A_RANGE))
-    signed = base.mapInArrow(_signer(k, threshold, miss, ranges), SIGNED).repartition(min(2 * ranges, MOST_TASKS), "range")
+    named = written(base.mapInArrow(_classer(k), NAMED), "named")
+    members = named.select("cls", "id")
+    first = written(named.groupBy("cls").agg(F.min(F.struct("id", "key")).alias("first")).select("cls", "first.id", "first.key"), "first")
+    leads = first.select("cls", "id")
+    ranges = int(max(2, members.count() // ROWS_A_RANGE))
+    signed = base.mapInArrow(_signer(k, threshold, miss, ranges, bloom_of(first, "key")), SIGNED).repartition(min(2 * ranges, MOST_TASKS), "range")
     merged = written(signed.groupBy("range").applyInArrow(merge, MERGED), "merged")
-    members = merged.where("kind = 0").select(F.col("a").alias("cls"), F.col("b").alias("id"), F.col("n"))
-    leads = members.groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("sigs"))
-    shared = merged.where("kind = 1").select("a", "b", "n")
-    hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
+    numbers = merged.where("kind = 0").select(F.col("a").alias("number"), F.col("b").alias("cls"), F.col("n").alias("sigs"))
+    of = lambda x: numbers.select(F.col("number").alias(x), F.col("cls").alias(f"cls_{x}"))
+    met = merged.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED)
+    # a class that was indexed twice meets itself
+    shared = met.join(of("a"), "a").join(of("b"), "b").where("cls_a <> cls_b").select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
+    hot = merged.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("number"))
     if not hot.isEmpty():
-        heavy = written(heavy_classes(hot, leads), "heavy")
+        heavy = written(heavy_classes(hot, numbers, leads), "heavy")
         if not heavy.isEmpty():
-            shared = shared.unionByName(prefix_pairs(_sets(base, heavy, k), threshold))
-    close = written(shared.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= NEED).select("a", "b"), "close")
+            shared = shared.unionByName(prefix_pairs(_sets(base, heavy, k), threshold).select("a", "b"))
+    close = written(shared.distinct(), "close")
     asked = written(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(leads, "cls").select("cls", "id"), "asked")
     sets = _sets(base, asked, k)
     pairs = (
