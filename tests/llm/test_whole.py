@@ -3,7 +3,19 @@
 import glob
 import os
 
-from tonelens.llm import neardup
+import pytest
+from pyspark.sql import functions as F
+
+from tonelens.llm import garbled, lookalike, neardup
+
+RUSSIAN = "Председатель банка сообщил, что инфляция остаётся высокой и ставка будет сохранена."
+
+
+@pytest.fixture(scope="module")
+def passages(spark, sf):
+    """More clean passages than any one language has, the others after them."""
+    first = spark.range(10_001).select(F.lit("en").alias("lang"), F.lit("plain words of one language").alias("text")).coalesce(1)
+    return first.unionByName(spark.read.parquet(f"{sf}/lang_samples.parquet").select("lang", "text"))
 
 
 def test_signatures_take_no_more_room_in_more_ranges(spark, monkeypatch, tmp_path):
@@ -36,3 +48,19 @@ def test_signatures_take_no_more_room_in_more_ranges(spark, monkeypatch, tmp_pat
         return sum(int(open(f).read()) for f in glob.glob(f"{at}/*"))
 
     assert sent(1) < 1.2 * sent(400)
+
+
+def test_one_form_tells_garbled_texts_by_all_passages(spark, passages):
+    seen = RUSSIAN.encode("cp1251").decode("cp1252")
+    df = spark.createDataFrame([(1, seen + "\u200b"), (2, RUSSIAN + "\u200b")], "k long, t string")
+    got = {r.id: (r.changes > 0, r.garbled) for r in lookalike.unified(df, "k", "t", passages, all_rows=False).collect()}
+    assert got == {1: (True, True), 2: (True, False)}
+
+
+def test_letter_pairs_of_all_passages(spark, passages, sf):
+    """Counted where they lie, pairs are those of the passages read one by one."""
+    rows = [tuple(r) for r in passages.collect()]
+    got, want = garbled.learned(passages), garbled.Plausible(rows)
+    letters = garbled.asked_letters()
+    assert got.bits == want.bits and len(got.bits) > 100
+    assert {k: v for k, v in got.known.items() if v} == {k: v for k, own in want.known.items() if (v := {p for p in own if letters.issuperset(p)})}
