@@ -64,3 +64,10 @@ def test_letter_pairs_of_all_passages(spark, passages, sf):
     letters = garbled.asked_letters()
     assert got.bits == want.bits and len(got.bits) > 100
     assert {k: v for k, v in got.known.items() if v} == {k: v for k, own in want.known.items() if (v := {p for p in own if letters.issuperset(p)})}
+
+
+def test_restored_by_all_passages(spark, passages):
+    seen = RUSSIAN.encode("cp1251").decode("cp1252")
+    n, want = garbled.repair(seen, garbled.Plausible([tuple(r) for r in passages.collect()]))
+    got = garbled.garbled(spark.createDataFrame([(1, seen), (2, RUSSIAN)], "k long, t string"), "k", ["t"], passages, restored=True).collect()
+    assert [(r.id, r.garbled, r.restored) for r in got] == [(1, n, want)] and want.startswith("Председатель банка")
