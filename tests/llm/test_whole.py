@@ -3,10 +3,11 @@
 import glob
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonelens.llm import garbled, lookalike, neardup
+from tonelens.llm import garbled, leaks, lookalike, neardup
 
 RUSSIAN = "Председатель банка сообщил, что инфляция остаётся высокой и ставка будет сохранена."
 
@@ -71,3 +72,23 @@ def test_restored_by_all_passages(spark, passages):
     n, want = garbled.repair(seen, garbled.Plausible([tuple(r) for r in passages.collect()]))
     got = garbled.garbled(spark.createDataFrame([(1, seen), (2, RUSSIAN)], "k long, t string"), "k", ["t"], passages, restored=True).collect()
     assert [(r.id, r.garbled, r.restored) for r in got] == [(1, n, want)] and want.startswith("Председатель банка")
+
+
+def test_similar_looks_at_every_window(spark):
+    """Items one after the other make one run of windows, and so do items in which a part comes again."""
+    items = [(i, " ".join(f"v{i}x{j}" for j in range(40))) for i in range(5)]
+    again = " ".join(f"r{j}" for j in range(30))
+    items.append((5, again + " so it goes" * 10))
+    docs = [(1, " ".join(t for _, t in items[:5])), (2, "before " + items[5][1] + " after"), (3, again + " on and on" * 10)]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, t string")
+    got = {(r.item, r.doc): r.similarity for r in leaks.similar(frame(docs), "k", "t", frame(items), "k", "t").collect()}
+    assert got == {(i, 1): 1.0 for i in range(5)} | {(5, 2): 1.0}
+
+
+def test_others_are_counted_once_in_each_run():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (30, 1), (30, 7), (30, 30)]:
+        h = rng.integers(0, 8, n).astype(np.uint64)
+        hit = np.isin(h, [1, 5])
+        before = leaks.place_before(np.zeros(n), h, hit)
+        assert leaks.others(before, m).tolist() == [len(set(h[s : s + m][~hit[s : s + m]].tolist())) for s in range(n - m + 1)]

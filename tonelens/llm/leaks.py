@@ -3,7 +3,8 @@
 ``similar`` looks for whole items with small edits: windows of exactly an item's number of words get a
 128-bit SimHash of their words. Fingerprints are cut into ``radius + 1`` blocks; two that differ in at most ``radius``
 bits agree in one block, so an equi-join on (words, block, its bits) finds every fingerprint within the radius, and the
-weighted 5-word shingles of item and window verify it exactly. ``leaked`` asks for runs of 13 equal
+weighted 5-word shingles of item and window verify it exactly. Every window that can reach the similarity is looked at;
+a run of them holds its shingles once, and of its fingerprints' blocks only those that an item may have are joined. ``leaked`` asks for runs of 13 equal
 words anywhere in an item; its windows have 13 words, equal runs have equal fingerprints (radius 0), and
 the words' own hashes verify them.
 
@@ -32,7 +33,9 @@ CHUNK = 18
 STEP = 1 << 15
 SALT = 0x9E3779B97F4A7C15
 ITEM = "item long, words int, low long, high long, shingles array<long>"
-WINDOW = "doc long, words int, low long, high long, shingles array<long>"
+WINDOWS = "doc long, words int, low array<long>, high array<long>, hits array<array<int>>, shingles array<long>"
+#: Windows of a run that are kept in one row at most.
+PIECE = 1 << 12
 
 
 def window_simhash(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -52,6 +55,8 @@ def window_simhash(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def prints(hashes: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The two halves of the windows' 128-bit SimHash."""
+    first = int(at[0])
+    hashes, at = hashes[first : int(at[-1]) + size], at - first
     return window_simhash(hashes, at, size), window_simhash(mix(hashes ^ U64(SALT)), at, size)
 
 
@@ -158,11 +163,53 @@ def _item_rows(k: int):
     return make
 
 
-def _windows(k: int, sizes: list[int], bloom: Bloom, least: float):
-    """The item-sized windows of each document that can reach the similarity: at least a share of 2 - 1 / least of their
-    shingles, and one, must pass the filter, as each other shingle counts in full against the item; of a run of such
-    windows those that hold the most, the first and the last if many do."""
-    share = max(0.0, 2 - 1 / least)
+def cuts(radius: int) -> list[tuple[bool, int, int]]:
+    """(high half, first bit, end) of the blocks of a 128-bit fingerprint: radius + 1 that don't cross the halves; an odd
+    number leaves one half a block less."""
+    n = radius + 1
+    return [(high, 64 * i // own, 64 * (i + 1) // own) for high, own in ((False, n - n // 2), (True, n // 2)) for i in range(own)]
+
+
+def block_keys(words: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> np.ndarray:
+    """A hash of number of words, block and its bits for each fingerprint (rows) and block (columns)."""
+    own = mix(words.astype(U64))
+    if radius < 1:
+        return mix(own ^ mix(low) ^ mix(high ^ U64(SALT)))[:, None]
+    bits = np.stack([((high if upper else low) >> U64(start) & U64((1 << (stop - start)) - 1)) ^ U64(i * SALT % 2**64) for i, (upper, start, stop) in enumerate(cuts(radius))], 1)
+    return mix(own[:, None] ^ mix(bits))
+
+
+def _item_keys(radius: int):
+    def make(batches):
+        for batch in batches:
+            words, low, high = (batch.column(c).to_numpy() for c in ("words", "low", "high"))
+            yield pa.record_batch({"key": pa.array(mix(block_keys(words, low.astype(U64), high.astype(U64), radius).ravel()).astype(np.int64))})
+
+    return make
+
+
+def place_before(doc: np.ndarray, h: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Of each shingle that doesn't pass the filter, where its text had it last; -1 for the first, -2 for those that pass."""
+    out = np.where(hit, -2, -1)
+    at = np.flatnonzero(~hit)
+    at = at[np.lexsort((h[at], doc[at]))]
+    again = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (doc[at[1:]] == doc[at[:-1]])) + 1
+    out[at[again]] = at[again - 1]
+    return out
+
+
+def others(before: np.ndarray, m: int) -> np.ndarray:
+    """Distinct shingles that don't pass the filter in each run of ``m`` of a text's shingles, by their places before."""
+    at = np.flatnonzero(before > -2)
+    # one counts in the runs that begin after its last place before, and hold it
+    begin = np.maximum(np.maximum(before[at] + 1, at - m + 1), 0)
+    return np.cumsum(np.bincount(begin, minlength=len(before) + 1) - np.bincount(at + 1, minlength=len(before) + 1))[: len(before) - m + 1]
+
+
+def _windows(k: int, sizes: list[int], shingles: Bloom, prints_of_items: Bloom, least: float, radius: int):
+    """All item-sized windows of each document that can reach the similarity and agree with an item in a block: at most a
+    share of 1 / least - 1 of an item's shingles may be others than those that pass the filter, as each counts in full
+    against the item, and one must pass. One row for a run of windows, with its shingles in order."""
 
     def find(batches):
         for batch in batches:
@@ -170,47 +217,54 @@ def _windows(k: int, sizes: list[int], bloom: Bloom, least: float):
             for a, b in slices(texts):
                 words = Words(Codes(texts[a:b]))
                 at, h = words.windows(k)
-                hit = bloom.holds(mix(h))
+                hit = shingles.holds(mix(h))
                 held = np.bincount(words.doc[at[hit]], minlength=b - a) if len(at) else np.zeros(b - a, np.int64)
-                out = []
-                for d in np.flatnonzero(held >= max(1, share * (sizes[0] - k + 1))).tolist():
+                before = place_before(words.doc[at], h, hit)
+                # others that come again count once
+                enough = held + np.bincount(words.doc[at[before >= 0]], minlength=b - a)
+                share, out = 2 - 1 / least, []
+                for d in np.flatnonzero((held > 0) & (enough >= share * (sizes[0] - k + 1) - 1e-9)).tolist():
                     first, n = int(words.first[d]), int(words.first[d + 1] - words.first[d])
                     lo = int(np.searchsorted(at, first))
+                    own, last = h[lo : lo + n - k + 1], before[lo : lo + n - k + 1]
+                    last = np.where(last < 0, last, last - lo)
                     count = np.concatenate([[0], np.cumsum(hit[lo : lo + n - k + 1])])
                     for size in sizes:
                         m = size - k + 1
-                        if size > n or held[d] < share * m:
-                            continue
+                        if size > n or enough[d] < share * m - 1e-9:
+                            break
                         inside = count[m:] - count[:-m]
-                        good = np.flatnonzero((inside >= share * m) & (inside > 0))
+                        if inside.max() + enough[d] - held[d] < share * m - 1e-9:
+                            continue
+                        good = np.flatnonzero((others(last, m) <= (1 / least - 1) * m + 1e-9) & (inside > 0))
                         if not len(good):
                             continue
-                        starts = []
                         for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1):
-                            top = run[inside[run] == inside[run].max()]
-                            starts += [int(top[0]), int(top[-1])]
-                        starts = np.unique(starts)
-                        low, high = prints(words.hash, first + starts, size)
-                        for s, x, y in zip(starts.tolist(), low.astype(np.int64).tolist(), high.astype(np.int64).tolist()):
-                            out.append((int(ids[a + d]), size, x, y, np.unique(h[lo + s : lo + s + m]).astype(np.int64).tolist()))
+                            for i in range(0, len(run), PIECE):
+                                starts = run[i : i + PIECE]
+                                low, high = prints(words.hash, first + starts, size)
+                                keys = block_keys(np.full(len(starts), size), low, high, radius)
+                                near = prints_of_items.holds(mix(keys.ravel())).reshape(keys.shape)
+                                if near.any():
+                                    which = [np.flatnonzero(x).tolist() if any_of else [] for x, any_of in zip(near, near.any(1).tolist())]
+                                    out.append((int(ids[a + d]), size, low.astype(np.int64), high.astype(np.int64), which, own[starts[0] : starts[-1] + m].astype(np.int64)))
                 if out:
-                    i, n, low, high, s = zip(*out)
-                    yield pa.record_batch({"doc": pa.array(i, pa.int64()), "words": pa.array(n, pa.int32()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "shingles": pa.array(s, pa.list_(pa.int64()))})
+                    i, n, low, high, hits, s = zip(*out)
+                    longs = pa.list_(pa.int64())
+                    yield pa.record_batch({"doc": pa.array(i, pa.int64()), "words": pa.array(n, pa.int32()), "low": pa.array(low, longs), "high": pa.array(high, longs), "hits": pa.array(hits, pa.list_(pa.list_(pa.int32()))), "shingles": pa.array(s, longs)})
 
     return find
 
 
 def blocks(low, high, radius: int):
-    """``(block, bits)`` of a 128-bit fingerprint in two columns, cut into radius + 1 blocks that don't cross the halves;
-    an odd number leaves one half a block less."""
-    out, n = [], max(1, radius + 1)
-    if n == 1:
+    """``(block, bits)`` of a 128-bit fingerprint in two columns, by ``cuts``."""
+    if radius < 1:
         return F.array(F.struct(F.lit(0).alias("block"), F.xxhash64(low, high).alias("bits")))
-    for half, n in ((low, n - n // 2), (high, n // 2)):
-        for i in range(n):
-            start, stop = 64 * i // n, 64 * (i + 1) // n
-            bits = F.shiftrightunsigned(half, start).bitwiseAND((1 << (stop - start)) - 1) if stop - start < 64 else half
-            out.append(F.struct(F.lit(len(out)).alias("block"), bits.alias("bits")))
+    out = []
+    for i, (upper, start, stop) in enumerate(cuts(radius)):
+        half = high if upper else low
+        bits = F.shiftrightunsigned(half, start).bitwiseAND((1 << (stop - start)) - 1) if stop - start < 64 else half
+        out.append(F.struct(F.lit(i).alias("block"), bits.alias("bits")))
     return F.array(*out)
 
 
@@ -230,21 +284,26 @@ def similar(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_
     if not sizes:
         return asked.sparkSession.createDataFrame([], "item long, doc long, similarity double")
     key = bloom_of(written(spread.select(F.col("shingle")).mapInArrow(_mixed, "key long"), "keys"), "key")
-    seen = written(_rows(docs, doc_id, doc_text).mapInArrow(_windows(k, sizes, key, least), WINDOW).withColumn("window", F.monotonically_increasing_id()), "windows")
-    at = lambda df, *more: df.select(*more, "words", "low", "high", F.inline(blocks(F.col("low"), F.col("high"), radius)))
-    x, y = at(seen, "window").alias("x"), at(asked, "row").alias("y")
+    fit = bloom_of(written(asked.select("words", "low", "high").mapInArrow(_item_keys(radius), "key long"), "blocks"), "key")
+    runs = written(_rows(docs, doc_id, doc_text).mapInArrow(_windows(k, sizes, key, fit, least, radius), WINDOWS).withColumn("run", F.monotonically_increasing_id()), "windows")
+    # a window of a run is known by its place there
+    seen = runs.select("run", "words", F.posexplode(F.arrays_zip("low", "high", "hits")).alias("place", "w")).select("run", "place", "words", "w.*")
+    at = lambda df, some, *more: df.select(*more, "words", "low", "high", F.inline(some(blocks(F.col("low"), F.col("high"), radius))))
+    x = at(seen.where(F.size("hits") > 0), lambda all_of: F.filter(all_of, lambda b: F.array_contains("hits", b["block"])), "run", "place").alias("x")
+    y = at(asked, lambda all_of: all_of, "row").alias("y")
     apart = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x.high").bitwiseXOR(F.col("y.high")))
     same = (F.col("x.words") == F.col("y.words")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.bits") == F.col("y.bits"))
-    near = x.join(y, same).where(apart <= radius).select("window", "row").distinct()
+    near = x.join(y, same).where(apart <= radius).select("run", "place", "row").distinct()
     # weights of the items' shingles; those of no item weigh 1
     total = asked.select("row", F.explode("shingles").alias("shingle")).hint("merge").join(spread, "shingle")
     own = total.groupBy("row").agg(F.sum("weight").alias("own"))
     # exploded arrays are larger than their files let expect, so they are never sent whole to the tasks
-    inside = near.join(seen.select("window", "doc", "shingles"), "window").select("window", "doc", "row", F.explode("shingles").alias("shingle"))
+    held = F.array_distinct(F.slice("shingles", F.col("place") + 1, F.col("words") - (k - 1)))
+    inside = near.join(runs.select("run", "doc", "words", "shingles"), "run").select("run", "place", "doc", "row", F.explode(held).alias("shingle"))
     inside = inside.hint("merge").join(spread.select("shingle", "weight"), "shingle", "left")
     shared = inside.hint("merge").join(total.select("row", "shingle", F.lit(True).alias("both")).hint("merge"), ["row", "shingle"], "left")
     weight = F.coalesce("weight", F.lit(1.0))
-    sums = shared.groupBy("window", "row", "doc").agg(F.sum(F.when(F.col("both"), weight).otherwise(0.0)).alias("both"), F.sum(F.when(F.col("both"), 0.0).otherwise(weight)).alias("other"))
+    sums = shared.groupBy("run", "place", "row", "doc").agg(F.sum(F.when(F.col("both"), weight).otherwise(0.0)).alias("both"), F.sum(F.when(F.col("both"), 0.0).otherwise(weight)).alias("other"))
     scored = sums.join(own, "row").withColumn("similarity", F.col("both") / (F.col("own") + F.col("other"))).where(F.col("similarity") >= least - 1e-9)
     return scored.join(asked.select("row", "item"), "row").groupBy("item", "doc").agg(F.max("similarity").alias("similarity"))
 
