@@ -58,6 +58,23 @@ def test_one_form_tells_garbled_texts_by_all_passages(spark, passages):
     assert got == {1: (True, True), 2: (True, False)}
 
 
+def test_letters_of_one_shape(spark):
+    """Letters look alike by their shape in ICU's table, be it a letter of the texts, another one or several."""
+    posing = {
+        1: ("Straβe", "Straße"), 2: ("сτавκа", "ставка"), 3: ("Γлава", "Глава"), 4: ("миʜисτр", "министр"), 5: ("gꝏd bꝏk", "good book"), 6: ("Cӕsar", "Cæsar"),
+        7: ("nuꮯlear Ꜳchen", "nuclear AAchen"), 8: ("paymenʦ", "payments"), 9: ("𑜀oney", "money"), 10: ("Φирма", "Фирма"),
+    }
+    order = {11: "STRAẞE", 12: "πρώτα Γάμμα", 13: "Ћирилица", 14: "Straße", 15: "Ǎn Ơ ɓ"}
+    df = spark.createDataFrame([(k, v[0]) for k, v in posing.items()] + list(order.items()), "k long, t string")
+    got = {r.id: (r.changes > 0, r.unified) for r in lookalike.unified(df, "k", "t").collect()}
+    assert got == {k: (True, v[1]) for k, v in posing.items()} | {k: (False, v) for k, v in order.items()}
+
+
+def test_no_shorter_table_without_icu():
+    with pytest.raises(RuntimeError, match="ICU"):
+        lookalike.public_alike(object())
+
+
 def test_letter_pairs_of_all_passages(spark, passages, sf):
     """Counted where they lie, pairs are those of the passages read one by one."""
     rows = [tuple(r) for r in passages.collect()]
