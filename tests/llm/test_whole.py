@@ -51,6 +51,35 @@ def test_signatures_take_no_more_room_in_more_ranges(spark, monkeypatch, tmp_pat
     assert sent(1) < 1.2 * sent(400)
 
 
+def test_phrases_in_common_make_few_pairs():
+    """Texts that share a tenth of their shingles, as phrases of the trade are, aren't written as pairs for it, and a text of
+    any length has few signatures."""
+    rng = np.random.default_rng(5)
+    phrases = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.integers(0, 1 << 63, 270, dtype=np.uint64), rng.choice(phrases, 30, False)])) for _ in range(400)]
+    n = np.array([len(x) for x in sets])
+    doc, sig = neardup.signatures(np.repeat(np.arange(400), n), np.concatenate(sets), n, 0.5, 5e-5)
+    left, _, _, hots = neardup.pairs_within(sig, doc, neardup.HOT)
+    assert len(sig) <= 200 * 400 and len(left) < 100 and not hots
+
+
+@pytest.mark.parametrize("size", [32, 300])
+def test_pairs_at_the_threshold_share_signatures(size):
+    """Of pairs exactly at the threshold, as many signatures are shared as the plan counts on."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(400):
+        both = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+        sets += [np.sort(both[: size * 3 // 2]), np.sort(both[size // 2 :])]
+    n = np.array([len(x) for x in sets])
+    doc, sig = neardup.signatures(np.repeat(np.arange(800), n), np.concatenate(sets), n, 0.5, 5e-5)
+    least, signed = neardup.plan(0.5, 5e-5)
+    at = doc.argsort(kind="stable")
+    sig = sig[at][(sig[at] & np.uint64(3)) == 3].reshape(800, signed)
+    shared = (sig[::2] == sig[1::2]).sum(1)
+    assert abs(shared.mean() - signed * 0.5**least) < 1 and shared.min() >= neardup.NEED
+
+
 def test_one_form_tells_garbled_texts_by_all_passages(spark, passages):
     seen = RUSSIAN.encode("cp1251").decode("cp1252")
     df = spark.createDataFrame([(1, seen + "\u200b"), (2, RUSSIAN + "\u200b")], "k long, t string")

@@ -1,24 +1,20 @@
-"""Near-duplicate records: set-similarity join by universe partition (problem 5).
-
-A text is the set of its distinct k-word shingles. For two sets with Jaccard similarity d or
-more, at most D = (1-d)/(1+d) of their summed sizes differ. The universe of shingles is cut by a
-hash into m segments, m in proportion to the size band of the smaller set; a differing shingle
-spoils one segment, so the pair agrees in the segments that none of the D hits (pigeonhole), and
-each text is indexed by its subsets of the segments. Segments that hold a single shingle are left
-out (the costly ones: a common line is such a shingle), and so are those beyond the first S; S is
-the smallest number for which a pair exactly at the threshold agrees in fewer than ``NEED`` and
-``DROPS`` of them together with a probability of at most ``miss`` under the random hash, whatever the texts are. For
-thresholds as low as 0.5 this replaces the deterministic bound, which would need nearly one
-segment for each shingle and so lists as long as a plain inverted index's; one-deletion
-neighbourhoods serve no better there and aren't built (README, "Problem 5"). Small sets are
-indexed by each of their shingles, which is exact. Every candidate is verified exactly on the
+"""Near-duplicate records: set-similarity join by least shingles, verified exactly (problem 5).
+
+A text is the set of its distinct k-word shingles. Under a random order of all shingles two sets have the same least one with
+a chance of their Jaccard similarity. A signature is the least shingles under a few orders, so texts that share no more than
+phrases rarely agree in one. (The universe partition named for the problem, whose signatures are the subsets of a set
+in segments of the universe, let such texts agree wherever two common shingles fell into one segment, and their number grew much
+faster than the input; README, "Problem 5".) The number of signatures is
+the smallest for which a pair exactly at the threshold agrees in fewer than ``NEED`` and ``DROPS`` of them together with a
+probability of at most ``miss`` under the random orders, whatever the texts are; it is the same for texts of any length. Small
+sets, and those of the next band for their sake, are indexed by each of their shingles, which is exact. Every candidate is verified exactly on the
 shingle sets.
 
 Texts with the same set are one class; a class is indexed once, so copies make no pairs among
 themselves. A first pass names the classes and the text that stands for each; a filter of those is sent to the second,
 which indexes what passes. Its signatures name a text by its place among the texts signed with it, one byte as a rule, so a
 signature takes about five bytes however many ranges they are cut into. Allocation by cost: signatures that more than ``HOT`` classes share make no pairs by themselves. A text
-with at most ``DROPS`` of them in a band leaves them out, which S allows for; so every pair with such a text is found by the
+with at most ``DROPS`` of them leaves them out, which the number of signatures allows for; so every pair with such a text is found by the
 others. Texts with more, as those made of common lines for a good part, are paired among each other by their shingles
 instead: by the prefix principle two sets reach the threshold only if they share one of their rarest shingles, of which each
 lists as many as it may lack, and one more. Common lines come last in that order, so texts that share a notice of less than
@@ -51,6 +47,8 @@ BLOCK = 1024
 #: Rows of two numbers sent to every task at most.
 SENT_ROWS = 1_000_000
 SMALL_BAND = 5
+#: Orders of the shingles whose least one is taken, at most.
+FUNCTIONS = 520
 FLUSH = 1 << 21
 #: Texts whose signatures are merged together, and tasks for them at most; a task takes one range after the other.
 ROWS_A_RANGE = 5_000
@@ -65,25 +63,26 @@ MERGED = "kind int, a long, b long, n long"
 
 
 @lru_cache(16)
-def plan(threshold: float, miss: float) -> tuple[float, int]:
-    """(segments for each shingle of a band's smallest set, segments looked at)."""
+def plan(threshold: float, miss: float) -> tuple[int, int]:
+    """(least shingles in a signature, signatures of a text): as many in one as ``FUNCTIONS`` allow."""
 
-    def agree(x: float, m: float) -> float:
-        """Chance that a segment agrees and holds two shingles or more, at summed size x."""
-        d, t = x * (1 - threshold) / (1 + threshold) / m, x * threshold / (1 + threshold) / m
-        return math.exp(-d) * (1 - math.exp(-t) * (1 + t))
+    def enough(r: int) -> int:
+        p, s = threshold**r, NEED + DROPS
+        while sum(math.comb(s, i) * p**i * (1 - p) ** (s - i) for i in range(NEED + DROPS)) > miss:
+            s += 1
+        return s
 
-    # summed sizes of pairs whose smaller set is in [1, 2): from 2 to 2 + 2 / threshold, at most 4 + 2
-    worst = lambda m: min(agree(2.0, m), agree(min(2 + 2 / threshold, 6.0), m))
-    m = max((i / 100 for i in range(2, 400)), key=worst)
-    p, s = worst(m), 32
+    r = 1
+    while (r + 1) * enough(r + 1) <= FUNCTIONS:
+        r += 1
+    return r, enough(r)
 
-    def missed(n: int) -> float:
-        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(NEED + DROPS))
 
-    while missed(s) > miss:
-        s += 16
-    return m, s
+@lru_cache(4)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and masks of n orders of the shingles."""
+    i = np.arange(1, 2 * n + 1, dtype=U64)
+    return mix(i[:n] * U64(0xD1B54A32D192ED03)) | U64(1), mix(i[n:] * U64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,39 +117,34 @@ def set_classes(d: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _low_bits(band: int) -> np.uint64:
-    """Odd and even tell a text's two bands apart; below 2 one signature makes a candidate."""
+    """Odd and even tell a text's two bands apart, least shingles being the band above the small ones; below 2 one signature makes a candidate."""
     return U64(band if band < 2 else 2 + band % 2)
 
 
 def signatures(d: np.ndarray, h: np.ndarray, n: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) for the texts' own bands and the bands below them."""
-    per, look = plan(threshold, miss)
+    """(text, signature): of small sets their shingles, for their own bands and the bands below; of others least shingles."""
     band = np.frexp(np.maximum(n, 1).astype(float))[1] - 1
     docs, sigs = [], []
-    for b in range(max(0, int(band.min(initial=0)) - 1), int(band.max(initial=0)) + 1):
+    for b in range(max(0, int(band.min(initial=0)) - 1), min(SMALL_BAND - 1, int(band.max(initial=0))) + 1):
         use = ((band == b) | (band == b + 1))[d]
-        if not use.any():
-            continue
-        own, hashes = d[use], h[use]
-        if b < SMALL_BAND:
-            docs.append(own)
-            sigs.append(mix(hashes ^ U64(b + 1)) << U64(2) | _low_bits(b))
-            continue
-        m = max(8, round(per * 2**b))
-        for rep in range(-(-look // m)):
-            x = mix(hashes ^ U64((b * 64 + rep + 1) * 0x9E3779B1))
-            segment = ((x >> U64(32)) * U64(m)) >> U64(32)
-            in_look = segment < U64(min(m, look))
-            key = own[in_look] * (1 << 20) + segment[in_look].astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            key, x = key[order], x[in_look][order]
-            at = first_of(key)
-            if not len(at):
-                continue
-            total = np.add.reduceat(mix(x), at)
-            held = np.diff(np.append(at, len(key))) > 1
-            docs.append(key[at[held]] >> 20)
-            sigs.append(mix(total[held] + U64((b * 64 + rep) * 0xD1B54A32D192ED03 % 2**64) + (key[at[held]] & 0xFFFFF).astype(U64)) << U64(2) | _low_bits(b))
+        if use.any():
+            docs.append(d[use])
+            sigs.append(mix(h[use] ^ U64(b + 1)) << U64(2) | _low_bits(b))
+    large = (band >= SMALL_BAND)[d]
+    own, hashes = d[large], h[large]
+    at = first_of(own)
+    if len(at):
+        r, s = plan(threshold, miss)
+        factors, masks = _functions(r * s)
+        which, x = own[at].astype(np.int64), np.empty_like(hashes)
+        for j in range(s):
+            total = np.full(len(at), j + 1, U64)
+            for i in range(j * r, j * r + r):
+                np.bitwise_xor(hashes, masks[i], out=x)
+                np.multiply(x, factors[i], out=x)
+                total = mix(total + np.minimum.reduceat(x, at))
+            docs.append(which)
+            sigs.append(total << U64(2) | _low_bits(SMALL_BAND))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     return np.concatenate(docs), np.concatenate(sigs)
