@@ -358,3 +358,16 @@ def test_row_numbers_sort_no_texts(spark, sf):
 
 def test_names():
     assert tonelens.__version__ and all(getattr(tonelens, n) for n in tonelens.__all__)
+
+
+def test_exports_clean_the_rows_once(spark, tmp_path):
+    """What is scored and exported after the cleaned rows is made from their export, not from the texts once more."""
+    source = spark.createDataFrame([("Growth improved.", "2024-01-01"), (None, None), ("Loss of growth", "2024-01-01")], "body string, day string")
+    lexicon = spark.createDataFrame([("d", "positive", "growth", 1), ("d", "negative", "loss", 2)], "dictionary string, polarity string, term string, pos int")
+    pipe = TonePipeline(spark, source, lexicon, "body", "day", str(tmp_path / "out"), order_by=["date", "text"])
+    _, cleaned, scored = pipe.run({"tokenize": True}, ["d"], export_results=True)
+    for df in (cleaned, scored, pipe.full):
+        shown = df._jdf.queryExecution().toString()
+        assert "ArrowEvalPython" not in shown and "Exchange" not in shown
+    rows = spark.read.parquet(str(tmp_path / "out" / "sentiment_all_results.parquet")).orderBy("id_text").collect()
+    assert [(r.id_text, r.text_clean, r.d_sentiment_posneg) for r in rows] == [(1, None, None), (2, "Growth improved.", 2.0), (3, "Loss of growth", 1.0)]

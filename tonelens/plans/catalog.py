@@ -545,8 +545,8 @@ def _exported(spark, d, name: str) -> DataFrame:
     """One of the files that a run of the pipeline writes."""
     path = new_path(spark, "export")
     # numbered by the date, and by the id among speeches of one date
-    speeches = dense_ids(table(spark, d, "speeches").select("speech_id", "text", "Date"), ["Date", "speech_id"], "place")
-    pipe = TonePipeline(spark, speeches, table(spark, d, "lexicon"), "text", "Date", path, order_by="place")
+    speeches = table(spark, d, "speeches").select("speech_id", "text", "Date")
+    pipe = TonePipeline(spark, speeches, table(spark, d, "lexicon"), "text", "Date", path, order_by=["date", "speech_id"])
     pipe.run({"tokenize": True}, ["tone_a"], export_results=True)
     return readers.read_file(spark, f"{path}/{name}.parquet")
 

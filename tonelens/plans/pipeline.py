@@ -12,7 +12,7 @@ from ..errors import LoadError, ScoreError
 from ..operators.clean import clean
 from ..operators.score import METHODS, score
 from ..sources.readers import load_corpus, load_lexicon, standardized, with_text
-from ..sources.sinks import export_all
+from ..sources.sinks import export_cleaned, export_scores
 
 log = logging.getLogger(__name__)
 
@@ -31,7 +31,7 @@ class TonePipeline:
     row, so the same rows have the same numbers in every job.
     """
 
-    def __init__(self, spark: SparkSession, source: str | DataFrame, lexicon: str | DataFrame, text_column: str = "text", date_column: str = "date", export_path: str | None = None, order_by: str | None = None, partition_by: str | None = None, id_column: str | None = None):
+    def __init__(self, spark: SparkSession, source: str | DataFrame, lexicon: str | DataFrame, text_column: str = "text", date_column: str = "date", export_path: str | None = None, order_by: str | list | None = None, partition_by: str | None = None, id_column: str | None = None):
         self.spark, self.source, self.export_path = spark, source, export_path
         self.text_column, self.date_column = text_column, date_column
         self.order_by, self.partition_by, self.id_column = order_by, partition_by, id_column
@@ -86,7 +86,7 @@ class TonePipeline:
         return self.id_column or (None if self.partition_by else "id_text")
 
     def run(self, options: dict | CleanConfig | None, dictionaries: dict | list | None, methods: list | tuple = METHODS, export_results: bool = False) -> tuple:
-        """(raw, cleaned, scored); a stage left out gives None."""
+        """(raw, cleaned, scored); a stage left out gives None. With an export path cleaned is read from its export, and scores are made from that."""
         raw = self.load()
         if options is None:
             log.warning("no cleaning options given: nothing is cleaned or scored")
@@ -96,5 +96,9 @@ class TonePipeline:
         if dictionaries is None:
             log.warning("no dictionaries given: nothing is scored")
         if self.export_path:
-            export_all(cleaned, scored, self.export_path, export_results, self.full)
+            self.cleaned = cleaned = export_cleaned(cleaned, self.export_path)
+            if scored is not None:
+                scored = self.score(dictionaries, methods)
+                if export_results:
+                    export_scores(cleaned, scored, self.export_path, self.full)
         return raw, cleaned, scored

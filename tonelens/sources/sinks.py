@@ -49,8 +49,19 @@ def combined(cleaned: DataFrame, scored: DataFrame | None, key: str = "id_text",
 def export_all(cleaned: DataFrame, scored: DataFrame | None, folder: str, results: bool = True, full: DataFrame | None = None) -> None:
     """``cleaned``, and with results ``sentiment_lexical`` and ``sentiment_all_results``, in a folder. full: the scores of
     all cleaned rows, beside their columns."""
-    folder = folder.rstrip("/")
-    write_parquet(cleaned, f"{folder}/cleaned.parquet")
+    export_cleaned(cleaned, folder)
     if results and scored is not None:
-        write_parquet(scored.drop(*[c for c in cleaned.columns if c != "id_text"]), f"{folder}/sentiment_lexical.parquet")
-        write_parquet(combined(cleaned, scored if full is None else full, complete=full is not None), f"{folder}/sentiment_all_results.parquet")
+        export_scores(cleaned, scored, folder, full)
+
+
+def export_cleaned(cleaned: DataFrame, folder: str) -> DataFrame:
+    """``cleaned`` written to a folder, and read again, so what follows doesn't number, clean and tokenize the rows once more."""
+    path = f"{folder.rstrip('/')}/cleaned.parquet"
+    write_parquet(cleaned, path)
+    return cleaned.sparkSession.read.schema(cleaned.schema).parquet(path)
+
+
+def export_scores(cleaned: DataFrame, scored: DataFrame, folder: str, full: DataFrame | None = None) -> None:
+    folder = folder.rstrip("/")
+    write_parquet(scored.drop(*[c for c in cleaned.columns if c != "id_text"]), f"{folder}/sentiment_lexical.parquet")
+    write_parquet(combined(cleaned, scored if full is None else full, complete=full is not None), f"{folder}/sentiment_all_results.parquet")
